@@ -30,10 +30,17 @@ SQL_WORDS = (
 )
 SQL_CALLEES = ("spark.sql", "execute", "sql")
 
-_QUIET_LINE = rf"^{WS}*(?:--|\z)"
-_CLOSING_LINE = rf";{WS}*\z"
+# lines, by what they mean for the split; patterns run over a whole text (d: only LF ends a line)
 _COMMENT_LINE = rf"(?md)^{WS_IN_LINE}*--[^\n]*"
+_QUIET_LINE = rf"(?md)^{WS_IN_LINE}*(?:--[^\n]*)?$"
+_CLOSING_LINE = rf"(?md)^[^\n]*;{WS_IN_LINE}*$"
+_CODE_LINE = r"(?md)^(?!;$)[^\n]+$"
+CLOSING, CODE = ";", "x"
+
 _LEADING_COMMENTS = rf"^(?:{WS_IN_LINE}*(?:(?:--|/\*)[^\n]*)?(?:\n|\z))*+"
+_DESCRIPTION_LINE = (
+    rf"(?md)^{WS_IN_LINE}*--{WS_IN_LINE}*+(?!(?i:business_rule))([^\n]*?){WS_IN_LINE}*$"
+)
 
 _QUOTED = "|".join(
     rf"f?{q}({body}*?){q}"
@@ -78,20 +85,17 @@ def statement_array(content: Column, dollar_quotes: bool = True) -> Column:
             F.contains(content, F.lit("$$")), _without_inner_semicolons(content)
         ).otherwise(content)
 
-    # 0 = blank or comment, 1 = code, 2 = code that closes a statement
-    marks = F.transform(
-        lines_of(shape),
-        lambda line: F.when(matches(line, _QUIET_LINE), F.lit(0))
-        .when(matches(line, _CLOSING_LINE), F.lit(2))
-        .otherwise(F.lit(1)),
-    )
+    # one short mark per line: nothing for blank and comment lines, a code line, a closing one
+    for pattern, mark in ((_QUIET_LINE, ""), (_CLOSING_LINE, CLOSING), (_CODE_LINE, CODE)):
+        shape = F.regexp_replace(shape, pattern, mark)
+    marks = lines_of(shape)
 
     def cut_points(marks: Column) -> Column:
         closing = F.filter(
-            F.transform(marks, lambda m, i: F.when(m == 2, i)), lambda i: i.isNotNull()
+            F.transform(marks, lambda m, i: F.when(m == CLOSING, i)), lambda i: i.isNotNull()
         )
         last = F.size(marks) - 1
-        return F.when(F.get(marks, last) == 2, closing).otherwise(
+        return F.when(F.get(marks, last) == CLOSING, closing).otherwise(
             F.concat(closing, F.array(last))
         )
 
@@ -99,12 +103,15 @@ def statement_array(content: Column, dollar_quotes: bool = True) -> Column:
         def one(cut: Column, j: Column) -> Column:
             first = F.when(j == 0, F.lit(0)).otherwise(F.get(b["cuts"], j - 1) + 1)
             size = cut - first + 1
-            code_at = F.array_position(
-                F.transform(F.slice(b["marks"], first + 1, size), lambda m: m > 0), True
-            ).cast("int")
+            own = F.slice(b["marks"], first + 1, size)
+            # the closing line is the last one, so it counts only where no other code is
+            code_at = F.coalesce(
+                F.nullif(F.array_position(own, CODE), F.lit(0)),
+                F.nullif(F.array_position(own, CLOSING), F.lit(0)),
+            )
             return F.struct(
                 strip(F.array_join(F.slice(b["lines"], first + 1, size), NL)).alias("text"),
-                F.when(code_at > 0, first + code_at).alias("start_line"),
+                (first + code_at).cast("int").alias("start_line"),
             )
 
         return F.filter(F.transform(b["cuts"], one), lambda s: s["text"] != "")
@@ -217,15 +224,11 @@ def sql_name(text: Column, kind: Column) -> Column:
 
 def sql_description(text: Column) -> Column:
     """Leading ``--`` comments joined by a blank, rule markers left out; null if none."""
-    comments = F.filter(
-        F.transform(lines_of(F.regexp_extract(text, _LEADING_COMMENTS, 0)), strip),
-        lambda line: F.startswith(line, F.lit("--")),
-    )
-    kept = F.filter(
-        F.transform(comments, lambda line: F.regexp_replace(line, rf"^--{WS}*", "")),
-        lambda line: ~matches(line, "(?i)^business_rule"),
+    comments = extract_all(F.regexp_extract(text, _LEADING_COMMENTS, 0), _DESCRIPTION_LINE)
+    return F.when(
+        matches(text, rf"^{WS}*(?:--|/\*)"),
+        let(comments, lambda c: F.when(F.size(c) > 0, F.array_join(c, " "))),
     )
-    return let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")))
 
 
 def sql_markers(text: Column) -> Column:
@@ -246,4 +249,4 @@ def sql_tables(text: Column) -> Column:
 def sql_columns(text: Column) -> Column:
     """Output names of the first SELECT list: the last word of each comma part."""
     select_list = F.regexp_extract(text, rf"(?i)SELECT{WS}+([\s\S]*?){WS}+FROM", 1)
-    return F.array_distinct(extract_all(select_list, rf"(\w+){WS}*(?:,|\z)"))
+    return F.array_distinct(extract_all(select_list, rf"(?<![A-Za-z0-9_])(\w++){WS}*+(?:,|\z)"))

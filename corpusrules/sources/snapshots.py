@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,11 +74,12 @@ def latest_run(
         if before is not None:
             runs = runs.filter(F.col("run_ts") < F.lit(before))
         return runs.agg(F.max_by("run_id", F.struct("run_ts", "run_id"))).first()[0]
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         # any other failure, such as lost executors, must not pass for a first run
-        if not (e.getCondition() or "").startswith(_UNREADABLE):
+        reason = next((c for c in _UNREADABLE if c in str(e)), None)
+        if reason is None:
             raise
-        log.warning("no previous snapshot: %s", e.getCondition())
+        log.warning("no previous snapshot: %s", reason)
         return None
 
 
