@@ -14,7 +14,7 @@ from ..operators import py_units as P
 from ..operators import reports as R
 from ..operators import sql_units as S
 from ..operators.units import as_units, extract_units
-from ..session import shared_dir
+from ..session import keep, shared_dir
 from ..sources import files as files_source
 from ..sources.snapshots import read_rows
 from ..streaming import events as E
@@ -128,9 +128,20 @@ def labelled_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.classify(corpus_units(spark, sf_dir))
 
 
+def index_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What indexes and overviews need of a unit, extracted once for all their parts."""
+    units = labelled_units(spark, sf_dir)
+    return keep(
+        units.select(
+            "kind", "file_path", "ordinal", "name", "sql_type", "classification",
+            F.when(F.col("kind") == "function", F.col("description")).alias("description"),
+        )
+    )
+
+
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of ``documents`` as units: real prose, long rows, several languages."""
-    return C.table(spark, sf_dir, "documents").select(
+    return C.rows(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         F.col("source").alias("name"),
         F.col("text").alias("source_code"),
@@ -233,7 +244,7 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.change_report(_changed(spark, sf_dir), GENERATED)
+    return H.change_report(keep(_changed(spark, sf_dir)), GENERATED)
 
 
 # --- reports -----------------------------------------------------------------------------
@@ -256,7 +267,7 @@ def sql_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.category_index(labelled_units(spark, sf_dir))
+    return R.category_index(index_units(spark, sf_dir))
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,11 +275,11 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quick_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.quick_links(labelled_units(spark, sf_dir))
+    return R.quick_links(index_units(spark, sf_dir))
 
 
 def overview_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.overview_page(labelled_units(spark, sf_dir), GENERATED)
+    return R.overview_page(index_units(spark, sf_dir), GENERATED)
 
 
 # --- events and files --------------------------------------------------------------------
@@ -288,11 +299,8 @@ def push_stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = f"{shared_dir(spark)}/push-{uuid.uuid4().hex}"
     C.commit_events(spark, sf_dir).write.json(f"{home}/events")
     C.files_by_commit(spark, sf_dir).write.partitionBy("commit").parquet(f"{home}/files")
-    files = spark.read.schema("file_path string, content string, commit string").parquet(
-        f"{home}/files"
-    )
     stream = E.read_push_events(spark, f"{home}/events")
-    query = E.run_stream(stream, files, f"{home}/history", f"{home}/state", C.TEST_SECRET)
+    query = E.run_stream(stream, f"{home}/files", f"{home}/history", f"{home}/state", C.TEST_SECRET)
     query.awaitTermination()
     rows = read_rows(spark, f"{home}/history").groupBy("run_id", "classification")
     changed = spark.read.parquet(f"{home}/history/changes").groupBy("run_id", "change")

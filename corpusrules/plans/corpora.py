@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 SQL_TEXT = """
 case when o_orderkey%10 in (5, 7) then '' else '-- name: q_'||o_orderkey||chr(10)||'-- '||o_orderpriority||chr(10)
 ||case when o_orderkey%3=0 then '-- BUSINESS_RULE: cap '||(o_orderkey%50)||chr(10) else '' end end
@@ -59,23 +61,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows become texts: enough tasks for the work that follows."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def sql_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per order; no shuffle."""
-    return table(spark, sf_dir, "orders").select(
+    return rows(spark, sf_dir, "orders", "o_orderkey").select(
         F.expr("'sql/o'||o_orderkey||'.sql'").alias("file_path"),
         F.expr(SQL_TEXT).alias("content"),
     )
 
 
-def _joined(rows: DataFrame, path: str, text: str, key: str) -> DataFrame:
-    # a fixed number of partitions keeps the parse that follows parallel where the
-    # text is small; the grouping reuses it, so there is one shuffle either way
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _joined(source: DataFrame, path: str, text: str, key: str) -> DataFrame:
+    # Grouped rows are moved before they become text, so the shuffle is narrow. A fixed
+    # number of partitions keeps the work that follows parallel where the text is small.
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.select(
-            F.expr(path).alias("file_path"), F.expr(text).alias("piece"), F.col(key).alias("k")
-        )
+        source.withColumn("file_path", F.expr(path))
         .repartition(tasks, "file_path")
+        .select("file_path", F.expr(text).alias("piece"), F.col(key).alias("k"))
         .groupBy("file_path")
         .agg(F.expr("listagg(piece, chr(10)) within group (order by k)").alias("content"))
     )
@@ -123,7 +129,7 @@ VERSION_RELABEL = {1: "false", 2: "o_orderkey%26=0"}
 
 def sql_version(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     return (
-        table(spark, sf_dir, "orders")
+        rows(spark, sf_dir, "orders", "o_orderkey")
         .filter(VERSION_ROWS[version])
         .select(
             F.expr("'sql/o'||o_orderkey||'.sql'").alias("file_path"),
@@ -179,7 +185,7 @@ def _signed(events: DataFrame) -> DataFrame:
 
 def push_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(
-        table(spark, sf_dir, "events").select(
+        rows(spark, sf_dir, "events", "event_id").select(
             "event_id",
             F.col("ts").cast("timestamp").alias("ts"),
             F.expr(EVENT_NAME).alias("event"),
@@ -200,7 +206,7 @@ COMMIT_TEXT = f"""replace({SQL_TEXT}, '-- mid;', '-- mid;'
 
 def files_by_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "orders")
+        rows(spark, sf_dir, "orders", "o_orderkey")
         .withColumn("age", F.explode(F.array(F.lit(0), F.lit(1))))
         .select(
             F.expr("'sql/o'||o_orderkey||'.sql'").alias("file_path"),

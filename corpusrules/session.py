@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "corpusrules", master: str | None = None, **conf) -> SparkSession:
@@ -39,3 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="corpusrules-", dir=os.environ.get("TMPDIR"))
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Repartition a scan by ``key`` only if it has fewer splits than the cluster has cores.
+
+    A small table in one row group would otherwise be parsed by one task; a large
+    one is already split evenly by bytes and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *key)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Checkpoint rows that several branches of a plan read, in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -1,8 +1,9 @@
 """Source trees as a table: ``(file_path, content, error)``.
 
 Spark's own file listing hides every name that starts with an underscore, which
-would lose ``__init__.py``. The tree is therefore a small data source: the
-driver lists the tree (names and sizes only), executors read the files.
+would lose ``__init__.py``. So a tree is read in two steps, both on executors:
+a small data source lists names and sizes, then the paths are spread evenly and
+each task reads its files. The driver sees the folders near the root only.
 Land a tree once with ``land_sources`` and let analytics read that table.
 """
 
@@ -22,110 +23,131 @@ SQL_SKIPPED_DIRECTORIES = ("node_modules",)
 SUFFIXES = {"py": ".py", "sql": ".sql", "py_sql": ".py"}
 
 SCHEMA = "file_path string, content string, error string"
-# bytes of source text per task
-_TASK_BYTES = 64 * 1024 * 1024
+# listing tasks to aim for: folders are opened on the driver until there are so many
+_LISTING_TASKS = 64
 # bytes of source text per record batch
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    """File system and folder (with a final slash) of a path or an address."""
+    if "://" in root or root.startswith("file:"):
+        filesystem, path = fs.FileSystem.from_uri(root)
+    else:
+        filesystem, path = fs.LocalFileSystem(), root
+    return filesystem, path.rstrip("/") + "/"
 
 
-class _TreeReader(DataSourceReader):
+class _Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+class _ListingReader(DataSourceReader):
+    """Wanted files below a root. A folder that no kind of file wants is not opened."""
+
     def __init__(self, root: str, suffixes: tuple[str, ...], skipped: dict[str, tuple[str, ...]]):
         self.root, self.suffixes, self.skipped = root, suffixes, skipped
-
-    def _filesystem(self):
-        if "://" in self.root or self.root.startswith("file:"):
-            return fs.FileSystem.from_uri(self.root)
-        return fs.LocalFileSystem(), self.root
+        self.never = set.intersection(*(set(skipped[s]) for s in suffixes))
 
     def _wanted(self, path: str) -> bool:
         *folders, name = path.split("/")
         suffix = next((s for s in self.suffixes if name.endswith(s)), None)
         if suffix is None or name.startswith("."):
             return False
-        skipped = self.skipped[suffix]
-        return not any(f.startswith(".") or f in skipped for f in folders)
+        return not any(f in self.skipped[suffix] for f in folders)
+
+    def _open(self, filesystem, base: str, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+        """Sub-folders and wanted files of one folder, relative to the root."""
+        folders, files = [], []
+        for info in filesystem.get_file_info(fs.FileSelector(base + folder)):
+            path = info.path.removeprefix(base)
+            if info.type == fs.FileType.Directory:
+                if not info.base_name.startswith(".") and info.base_name not in self.never:
+                    folders.append(path)
+            elif self._wanted(path):
+                files.append((path, info.size or 0))
+        return folders, files
 
     def partitions(self) -> list[InputPartition]:
-        filesystem, base = self._filesystem()
-        base = base.rstrip("/") + "/"
-        # walk level by level, so folders that are skipped are not listed
-        never = set.intersection(*(set(self.skipped[s]) for s in self.suffixes))
-        found: list[tuple[str, int]] = []
-        level = [base]
-        while level:
-            below = []
-            for folder in level:
-                for info in filesystem.get_file_info(fs.FileSelector(folder.rstrip("/"))):
-                    if info.type == fs.FileType.Directory:
-                        if not info.base_name.startswith(".") and info.base_name not in never:
-                            below.append(info.path)
-                    elif self._wanted(info.path.removeprefix(base)):
-                        found.append((info.path.removeprefix(base), info.size or 0))
-            level = below
-        # fill tasks evenly by bytes; a file is never split
-        parts: list[_Files] = []
-        paths: list[str] = []
-        size = 0
-        for path, n in sorted(found):
-            if paths and size + n > _TASK_BYTES:
-                parts.append(_Files(paths))
-                paths, size = [], 0
-            paths.append(path)
-            size += n
-        if paths or not parts:
-            parts.append(_Files(paths))
-        return parts
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        filesystem, base = self._filesystem()
+        filesystem, base = _filesystem(self.root)
+        opened: list[str] = []
+        level = [""]
+        while level and len(level) < _LISTING_TASKS:
+            opened += level
+            level = [f for folder in level for f in self._open(filesystem, base, folder)[0]]
+        return [_Folder(f, False) for f in opened] + [_Folder(f, True) for f in level]
+
+    def read(self, partition: _Folder) -> Iterator[tuple[str, int]]:
+        filesystem, base = _filesystem(self.root)
+        todo = [partition.path]
+        while todo:
+            folders, files = self._open(filesystem, base, todo.pop())
+            yield from files
+            if partition.deep:
+                todo += folders
+
+
+class SourceListing(DataSource):
+    """``spark.read.format("source_listing")``; options ``path`` and ``suffixes``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_listing"
+
+    def schema(self) -> str:
+        return "file_path string, n_bytes long"
+
+    def reader(self, schema) -> DataSourceReader:
+        suffixes = tuple(self.options.get("suffixes", ".py,.sql").split(","))
+        skipped = {".py": SKIPPED_DIRECTORIES, ".sql": SQL_SKIPPED_DIRECTORIES}
+        return _ListingReader(self.options["path"], suffixes, skipped)
+
+
+def list_sources(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
+    """``(file_path, n_bytes)`` of the files below ``root``, paths relative to it."""
+    spark.dataSource.register(SourceListing)
+    suffixes = SUFFIXES[kind] if kind else ".py,.sql"
+    return spark.read.format("source_listing").option("suffixes", suffixes).load(root)
+
+
+def read_files(listing: DataFrame, root: str) -> DataFrame:
+    """Text of every listed file; one that cannot be read has ``error`` and no content."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = _filesystem(root)
         schema = pa.schema([(c, pa.string()) for c in ("file_path", "content", "error")])
         rows: list[dict] = []
         size = 0
-        for path in partition.paths:
+        for path in (p for batch in batches for p in batch.column("file_path").to_pylist()):
+            content = error = None
             try:
-                with filesystem.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                with filesystem.open_input_stream(base + path) as f:
                     data = f.read()
-                row = {"content": data.decode("utf-8", "replace"), "error": None}
+                content = data.decode("utf-8", "replace")
+                size += len(data)
             except OSError as e:
-                data, row = b"", {"content": None, "error": str(e)}
-            rows.append({"file_path": path} | row)
-            size += len(data)
+                error = str(e)
+            rows.append({"file_path": path, "content": content, "error": error})
             if size > _BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    return listing.select("file_path").mapInArrow(read, SCHEMA)
 
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree")``; options ``path`` and ``suffixes``."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return SCHEMA
+def scan_sources(
+    spark: SparkSession, root: str, kind: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Files below ``root``; ``kind`` is py, sql, py_sql or None for all.
 
-    def reader(self, schema) -> DataSourceReader:
-        suffixes = tuple(self.options.get("suffixes", ".py,.sql").split(","))
-        skipped = {".py": SKIPPED_DIRECTORIES, ".sql": SQL_SKIPPED_DIRECTORIES}
-        return _TreeReader(self.options["path"], suffixes, skipped)
-
-
-def scan_sources(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
-    """Files below ``root`` with paths relative to it; ``kind`` is py, sql, py_sql or all.
-
-    A file that cannot be read is a row with ``error`` and no content.
+    Paths are shuffled (not texts), so one big folder is read by many tasks. Their
+    number is a setting, not left to run-time sizes, which only see the paths.
     """
-    spark.dataSource.register(SourceTree)
-    suffixes = SUFFIXES[kind] if kind else ".py,.sql"
-    return spark.read.format("source_tree").option("suffixes", suffixes).load(root)
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_files(list_sources(spark, root, kind).repartition(tasks, "file_path"), root)
 
 
 def in_memory(spark: SparkSession, content: str, file_path: str = "<source>") -> DataFrame:
@@ -160,12 +182,12 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _TreeReader(root, (), {})._filesystem()
+        filesystem, base = _filesystem(root)
         made: set[str] = set()
         for batch in batches:
             sizes = []
             for path, content in zip(*(batch.column(c).to_pylist() for c in ("file_path", "content"))):
-                target = f"{base.rstrip('/')}/{path}"
+                target = base + path
                 folder = target.rpartition("/")[0]
                 if folder not in made:
                     filesystem.create_dir(folder, recursive=True)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.changes import KEY, changes, snapshot
 from ..operators.classify import classify
 from ..operators.units import extract_units
+from ..sources.files import read_landed
 from ..sources.snapshots import latest_run, read_rows, write_snapshot
 
 EVENT_SCHEMA = (
@@ -149,15 +150,16 @@ def _runs(events: DataFrame) -> DataFrame:
 
 
 def run_batch_of_events(
-    batch: DataFrame, files: DataFrame, table: str, secret: str | None = None
+    batch: DataFrame, source_table: str, table: str, secret: str | None = None
 ) -> None:
     """Extract, label and snapshot the commits that a batch of events asks for.
 
-    All commits of the batch are one job over ``files``, read by commit. Every
-    write replaces the run it belongs to, so a repeated batch changes nothing.
+    All commits of the batch are one job over the landed files (listed anew for
+    each batch), read by commit. Every write replaces the run it belongs to, so a repeated batch changes nothing.
     Events whose commit has no files start no run.
     """
-    spark = files.sparkSession
+    spark = batch.sparkSession
+    files = read_landed(spark, source_table)
     asked = handle_events(batch, secret).filter(F.col("action") == "run")
     # read by commit: only the partitions of the commits of this batch
     present = (
@@ -202,14 +204,18 @@ def run_batch_of_events(
 
 def run_stream(
     events: DataFrame,
-    files: DataFrame,
+    source_table: str,
     table: str,
     checkpoint: str,
     secret: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start the stream: every event that passes the checks starts a run of its commit."""
+    """Start the stream: every event that passes the checks starts a run of its commit.
+
+    ``source_table`` holds the landed files by commit (``land_sources``), ``table``
+    is the snapshot history.
+    """
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: run_batch_of_events(batch, files, table, secret)
+        lambda batch, _: run_batch_of_events(batch, source_table, table, secret)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -66,21 +66,21 @@ def test_unreadable_file_is_an_error_row(spark, tree):
         assert e.error
 
 
-def test_read_failure(spark, tree, monkeypatch):
-    reader = S._TreeReader(str(tree), (".sql",), {".sql": ()})
-    (batch,) = reader.read(S._Files(["q.sql", "missing.sql"]))
-    rows = batch.to_pylist()
-    assert rows[0]["content"] == "SELECT 1 FROM t;\n" and rows[0]["error"] is None
-    assert rows[1]["content"] is None and "missing.sql" in rows[1]["error"]
-
-
-def test_tasks_are_filled_by_bytes(tree, monkeypatch):
-    monkeypatch.setattr(S, "_TASK_BYTES", 20)
-    reader = S._TreeReader(str(tree), (".py", ".sql"), {".py": ("venv",), ".sql": ()})
-    parts = reader.partitions()
-    assert len(parts) > 3
-    found = [p for part in parts for p in part.paths]
-    assert len(found) == len(set(found)) and "venv/x.sql" in found and "venv/x.py" not in found
+def test_read_failure(spark, tree):
+    listing = spark.createDataFrame([("q.sql",), ("missing.sql",)], "file_path string")
+    rows = {r.file_path: r for r in S.read_files(listing, str(tree)).collect()}
+    assert rows["q.sql"].content == "SELECT 1 FROM t;\n" and rows["q.sql"].error is None
+    assert rows["missing.sql"].content is None and "missing.sql" in rows["missing.sql"].error
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 3, 100])
+def test_listing_is_whole_however_it_is_cut(tree, monkeypatch, tasks):
+    monkeypatch.setattr(S, "_LISTING_TASKS", tasks)
+    reader = S._ListingReader(str(tree), (".py", ".sql"), {".py": ("venv",), ".sql": ()})
+    found = sorted(path for part in reader.partitions() for path, _ in reader.read(part))
+    assert len(found) == len(set(found))
+    assert "venv/x.sql" in found and "venv/x.py" not in found and "_private/m.py" in found
+    assert len(found) == 10
 
 
 def test_empty_tree(spark, tmp_path):
