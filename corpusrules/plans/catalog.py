@@ -257,12 +257,12 @@ def _page_columns(pages: DataFrame) -> DataFrame:
 
 
 def function_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = K.classify(as_units(P.functions(C.py_by_tens(spark, sf_dir)), None))
+    units = keep(K.classify(as_units(P.functions(C.py_by_tens(spark, sf_dir)), None)))
     return _page_columns(R.function_pages(units, REPO_URL))
 
 
 def sql_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = K.classify(as_units(None, S.sql_blocks(C.sql_by_customer(spark, sf_dir))))
+    units = keep(K.classify(as_units(None, S.sql_blocks(C.sql_by_customer(spark, sf_dir)))))
     return _page_columns(R.sql_pages(units))
 
 
