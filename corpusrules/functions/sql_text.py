@@ -30,12 +30,24 @@ SQL_WORDS = (
 )
 SQL_CALLEES = ("spark.sql", "execute", "sql")
 
-# lines, by what they mean for the split; patterns run over a whole text (d: only LF ends a line)
-_COMMENT_LINE = rf"(?md)^{WS_IN_LINE}*--[^\n]*"
-_QUIET_LINE = rf"(?md)^{WS_IN_LINE}*(?:--[^\n]*)?$"
-_CLOSING_LINE = rf"(?md)^[^\n]*;{WS_IN_LINE}*$"
-_CODE_LINE = r"(?md)^(?!;$)[^\n]+$"
-CLOSING, CODE = ";", "x"
+# A statement is any number of lines that do not close it and one that does, or the end
+# of the text. All repetitions are possessive: the matcher never goes back, so a file
+# takes one pass and no stack. A line is seen in parts: runs without special characters,
+# a semicolon inside the line, and $$ bodies, which may run over many lines (comment
+# lines in a body are passed over whole).
+_COMMENT = rf"{WS_IN_LINE}*+--[^\n]*+"
+_INNER_SEMICOLON = rf";(?!{WS_IN_LINE}*+(?:\n|\z))"
+_BODY = rf"\$\$(?:[^\n$]++|\$(?!\$)|\n(?:{_COMMENT})?+)*+(?:\$\$|\z)"
+_LINE_PARTS = {
+    True: rf"(?:[^\n;$]++|{_INNER_SEMICOLON}|\$(?!\$)|{_BODY})*+",
+    False: rf"(?:[^\n;]++|{_INNER_SEMICOLON})*+",
+}
+_STATEMENT = {
+    quotes: rf"(?:[^\n;$]*+\n|{_COMMENT}\n|{parts}\n)*+(?:{_COMMENT}|{parts}(?:;{WS_IN_LINE}*+)?+)(?:\n|\z)"
+    for quotes, parts in _LINE_PARTS.items()
+}
+# blank and comment lines in front of the code of a statement, and its first character
+_UP_TO_CODE = rf"^(?:{WS_IN_LINE}*+(?:--[^\n]*+)?+\n)*+{WS_IN_LINE}*+(?!--)[^\n]"
 
 _LEADING_COMMENTS = rf"^(?:{WS_IN_LINE}*(?:(?:--|/\*)[^\n]*)?(?:\n|\z))*+"
 _DESCRIPTION_LINE = (
@@ -57,66 +69,34 @@ _CALL = (
 )
 
 
-def _without_inner_semicolons(content: Column) -> Column:
-    """Same lines, but with no ``;`` left between an odd and an even ``$$``.
-
-    ``$$`` on comment lines does not count. Cutting the text at ``$$`` makes the
-    bodies the odd pieces, so no running count over lines is needed.
-    """
-    pieces = F.split(F.regexp_replace(content, _COMMENT_LINE, "--"), r"\$\$", -1)
-    open_only = F.transform(
-        pieces,
-        lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit(";"), F.lit(""))).otherwise(
-            piece
-        ),
-    )
-    return F.array_join(open_only, "$$")
-
-
 def statement_array(content: Column, dollar_quotes: bool = True) -> Column:
     """``array<struct<text, start_line>>`` of the statements of one file.
 
-    A statement ends at a code line that ends in ``;``. Everything is index
-    arithmetic over the line array of the row: linear in the text, no shuffle.
+    A statement ends at a code line that ends in ``;``, with ``dollar_quotes`` only
+    outside a ``$$`` body. Linear in the text and inside the row: no shuffle.
     """
-    shape = content
-    if dollar_quotes:
-        shape = F.when(
-            F.contains(content, F.lit("$$")), _without_inner_semicolons(content)
-        ).otherwise(content)
-
-    # one short mark per line: nothing for blank and comment lines, a code line, a closing one
-    for pattern, mark in ((_QUIET_LINE, ""), (_CLOSING_LINE, CLOSING), (_CODE_LINE, CODE)):
-        shape = F.regexp_replace(shape, pattern, mark)
-    marks = lines_of(shape)
-
-    def cut_points(marks: Column) -> Column:
-        closing = F.filter(
-            F.transform(marks, lambda m, i: F.when(m == CLOSING, i)), lambda i: i.isNotNull()
+    pieces = F.filter(extract_all(content, _STATEMENT[dollar_quotes], 0), lambda p: p != "")
+
+    def number(pieces: Column) -> Column:
+        # every piece but the last ends its line: one mark per piece, line breaks between
+        skeleton = F.array_join(
+            F.transform(pieces, lambda p: F.concat(F.lit("x"), newlines_of(p))), ""
         )
-        last = F.size(marks) - 1
-        return F.when(F.get(marks, last) == CLOSING, closing).otherwise(
-            F.concat(closing, F.array(last))
+        first_lines = F.filter(
+            F.transform(lines_of(skeleton), lambda mark, i: F.when(mark != "", i)),
+            lambda i: i.isNotNull(),
         )
 
-    def build(b: Column) -> Column:
-        def one(cut: Column, j: Column) -> Column:
-            first = F.when(j == 0, F.lit(0)).otherwise(F.get(b["cuts"], j - 1) + 1)
-            size = cut - first + 1
-            own = F.slice(b["marks"], first + 1, size)
-            # the closing line is the last one, so it counts only where no other code is
-            code_at = F.coalesce(
-                F.nullif(F.array_position(own, CODE), F.lit(0)),
-                F.nullif(F.array_position(own, CLOSING), F.lit(0)),
-            )
+        def one(piece: Column, line: Column) -> Column:
+            lead = F.regexp_extract(piece, _UP_TO_CODE, 0)
             return F.struct(
-                strip(F.array_join(F.slice(b["lines"], first + 1, size), NL)).alias("text"),
-                (first + code_at).cast("int").alias("start_line"),
+                strip(piece).alias("text"),
+                F.when(lead != "", line + F.length(newlines_of(lead)) + 1).alias("start_line"),
             )
 
-        return F.filter(F.transform(b["cuts"], one), lambda s: s["text"] != "")
+        return F.filter(F.zip_with(pieces, first_lines, one), lambda s: s["text"] != "")
 
-    def number(found: Column) -> Column:
+    def complete(found: Column) -> Column:
         # only a trailing block of comments has no code line: it keeps the line before it
         return F.transform(
             found,
@@ -128,20 +108,7 @@ def statement_array(content: Column, dollar_quotes: bool = True) -> Column:
             ),
         )
 
-    return let(
-        let(
-            let(marks, lambda m: F.struct(m.alias("marks"), cut_points(m).alias("cuts"))),
-            lambda mc: let(
-                F.struct(
-                    mc["marks"].alias("marks"),
-                    mc["cuts"].alias("cuts"),
-                    lines_of(content).alias("lines"),
-                ),
-                build,
-            ),
-        ),
-        number,
-    )
+    return let(let(pieces, number), complete)
 
 
 def embedded_array(content: Column) -> Column:
