@@ -13,6 +13,7 @@ import tokenize
 import warnings
 
 _LITERAL = re.compile(r"[A-Za-z]*('''|\"\"\"|'|\")")
+BOM = "\ufeff"
 _SPACE = b" \t\r\n\f\\"
 
 
@@ -117,42 +118,136 @@ def _decorators(function: ast.AST, text: _Text) -> list[str]:
     return kept
 
 
-def function_facts(source: str) -> list[dict]:
-    """Facts about every function of a text, in the order of the text."""
-    bom = len(source) - len(source.removeprefix("\ufeff"))
-    body = source[bom:]
+def _parse(text: str) -> ast.Module:
     # a lone CR ends a line for the parser only; same length, so positions hold
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        tree = ast.parse(re.sub(r"\r(?!\n)", " ", body))
-    text = _Text(body)
+        return ast.parse(re.sub(r"\r(?!\n)", " ", text))
+
+
+def _functions_in(tree: ast.AST) -> list[ast.AST]:
+    """All functions at any depth, in the order of the text."""
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
+    found = [n for n in ast.walk(tree) if isinstance(n, kinds)]
+    return sorted(found, key=lambda n: (n.lineno, n.col_offset))
+
+
+def _facts_of(node: ast.AST, text: _Text, lines: list[str], shift: int = 0) -> dict:
+    """Facts of one function; ``lines`` are those of the file, ``shift`` lines above the text."""
+    start, end = node.lineno + shift, node.end_lineno + shift
+    facts = {
+        "name": node.name,
+        "start_line": start,
+        "end_line": end,
+        "parameters": _parameters(node.args, text),
+        "return_type": text.with_parentheses(node.returns) if node.returns else None,
+        "doc_literal": None,
+        "doc_offset": None,
+        "decorators": _decorators(node, text),
+        "source_code": "\n".join(lines[start - 1 : end]),
+    }
+    doc = _doc_node(node)
+    if doc is not None:
+        lo, hi = text.span(doc)
+        literal = text.cut(lo, hi)
+        if _is_one_literal(literal):
+            before = text.cut(text.starts[node.lineno - 1], lo)
+            bom = start == 1 and lines[0].startswith(BOM)
+            facts |= {"doc_literal": literal, "doc_offset": len(before) + bom}
+    return facts
+
+
+def function_facts(source: str) -> list[dict]:
+    """Facts about every function of a text, in the order of the text."""
+    body = source.removeprefix(BOM)
+    tree = _parse(body)
+    text, lines = _Text(body), source.split("\n")
+    return [_facts_of(node, text, lines) for node in _functions_in(tree)]
+
+
+# --- texts that do not parse as a whole ---------------------------------------------------
+
+_DEF = re.compile(r"([ \t]*)(?:async[ \t]+)?def[ \t]+\w+[ \t]*\(")
+_SPACE_OR_COMMENT = re.compile(r"\s*(?:#|$)")
+_DOC = re.compile(r"\s*[A-Za-z]*(\"\"\"|'''|\"|')[\s\S]*?\1[ \t\r]*(?:\n|$)")
+
+
+def _block_end(lines: list[str], first: int) -> int:
+    """Line after the block that starts at ``first``, by indentation."""
+    indent = len(_DEF.match(lines[first]).group(1).expandtabs())
+    end = first + 1
+    for i in range(first + 1, len(lines)):
+        line = lines[i].expandtabs()
+        if _SPACE_OR_COMMENT.match(line):
+            continue
+        if len(line) - len(line.lstrip()) <= indent and not line.lstrip().startswith(")"):
+            break
+        end = i + 1
+    return end
+
+
+def _parsed(lines: list[str], indented: bool) -> tuple[ast.Module, _Text] | None:
+    text = "\n".join(["if 1:", *lines] if indented else lines)
+    try:
+        return _parse(text), _Text(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _head_only(block: list[str], indented: bool) -> tuple[ast.Module, _Text] | None:
+    """The head of a function, with its docstring if that follows."""
+    open_brackets = 0
+    for n, line in enumerate(block, 1):
+        for colon in (i for i, c in enumerate(line) if c == ":"):
+            head = _parsed([*block[: n - 1], line[: colon + 1] + " pass"], indented)
+            if head is None:
+                continue
+            rest = "\n".join(block[n:])
+            doc = _DOC.match(rest)
+            if doc is None or not _SPACE_OR_COMMENT.match(line, colon + 1):
+                return head
+            return _parsed(block[:n] + rest[: doc.end()].rstrip().split("\n"), indented) or head
+        open_brackets += line.count("(") - line.count(")")
+        if open_brackets <= 0:
+            return None
+    return None
+
+
+def _decorators_above(lines: list[str], first: int) -> list[str]:
+    kept: list[str] = []
+    while first > 0 and lines[first - 1].strip().startswith("@"):
+        first -= 1
+        kept.insert(0, lines[first].strip()[1:].strip())
+    return kept
+
+
+def salvaged_facts(source: str) -> list[dict]:
+    """Facts from a text with errors: each function is parsed on its own.
+
+    A function that does not parse either gives what its head and docstring say.
+    """
     lines = source.split("\n")
-    functions = [
-        n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))
-    ]
-    functions.sort(key=lambda n: (n.lineno, n.col_offset))
-
-    facts = []
-    for node in functions:
-        doc = _doc_node(node)
-        doc_literal = doc_offset = None
-        if doc is not None:
-            lo, hi = text.span(doc)
-            if _is_one_literal(text.cut(lo, hi)):
-                doc_literal = text.cut(lo, hi)
-                doc_offset = len(text.cut(text.starts[node.lineno - 1], lo))
-                doc_offset += bom if node.lineno == 1 else 0
-        facts.append(
-            {
-                "name": node.name,
-                "start_line": node.lineno,
-                "end_line": node.end_lineno,
-                "parameters": _parameters(node.args, text),
-                "return_type": text.with_parentheses(node.returns) if node.returns else None,
-                "doc_literal": doc_literal,
-                "doc_offset": doc_offset,
-                "decorators": _decorators(node, text),
-                "source_code": "\n".join(lines[node.lineno - 1 : node.end_lineno]),
-            }
-        )
+    body = source.removeprefix(BOM).split("\n")
+    facts: list[dict] = []
+    done = 0
+    for first, line in enumerate(body):
+        head = _DEF.match(line)
+        if head is None or first < done:
+            continue
+        end = _block_end(body, first)
+        block, indented = body[first:end], bool(head.group(1))
+        whole = _parsed(block, indented)
+        tree, text = whole or _head_only(block, indented) or (None, None)
+        if tree is None:
+            continue
+        nodes = _functions_in(tree)
+        if whole:
+            done = end
+        else:
+            nodes = nodes[:1]
+        found = [_facts_of(node, text, lines, first - int(indented)) for node in nodes]
+        found[0]["decorators"] = _decorators_above(body, first)
+        if not whole:
+            found[0] |= {"end_line": end, "source_code": "\n".join(lines[first:end])}
+        facts += found
     return facts

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import py_text as P
-from ..functions.py_syntax import function_facts
+from ..functions.py_syntax import function_facts, salvaged_facts
 from .sql_units import carried
 
 PARAMETERS = T.ArrayType(
@@ -47,7 +47,10 @@ _BATCH_ROWS = 2000
 
 
 def parse_functions(py_files: DataFrame) -> DataFrame:
-    """Raw facts per function, plus one row with ``error`` per file that has no parse."""
+    """Raw facts per function, plus one row with ``error`` per file with errors.
+
+    A file that does not parse as a whole still gives the functions that can be read.
+    """
     keys = py_files.select("file_path", *carried(py_files))
     schema = T.StructType(keys.schema.fields + _FACTS.fields)
     arrow_schema = to_arrow_schema(schema)
@@ -61,10 +64,10 @@ def parse_functions(py_files: DataFrame) -> DataFrame:
                 content = batch.column("content")[row].as_py()
                 try:
                     facts = function_facts(content or "")
-                    found = [f | {"ordinal": i, "error": None} for i, f in enumerate(facts)]
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    found = [{"error": f"{type(e).__name__}: {e}"}]
-                out.extend(key | f for f in found)
+                    facts = salvaged_facts(content)
+                    out.append(key | {"error": f"{type(e).__name__}: {e}"})
+                out.extend(key | f | {"ordinal": i} for i, f in enumerate(facts))
                 if len(out) >= _BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
                     out = []
@@ -75,7 +78,7 @@ def parse_functions(py_files: DataFrame) -> DataFrame:
 
 
 def functions(py_files: DataFrame) -> DataFrame:
-    """All parts of the functions of Python files; files without a parse give no row."""
+    """All parts of the functions of Python files."""
     return functions_of(parse_functions(py_files))
 
 
@@ -114,5 +117,5 @@ def functions_of(parsed: DataFrame) -> DataFrame:
 
 
 def parse_errors(py_files: DataFrame) -> DataFrame:
-    """``(file_path, error)`` of the files that have no parse."""
+    """``(file_path, error)`` of the files that do not parse as a whole."""
     return parse_functions(py_files).filter(F.col("error").isNotNull()).select("file_path", "error")

@@ -144,3 +144,55 @@ def test_bad_file_is_an_error_row(files):
 def test_deep_nesting_is_an_error_row(files):
     df = files({"deep.py": "x = " + "(" * 5000 + ")" * 5000})
     assert parse_errors(df).count() == 1
+
+
+BROKEN = '''\
+import os
+@deco
+@other(1)
+def good(a: int) -> str:
+    "Doc. def inner(): no"
+    def nested(): pass
+    return a
+
+class A:
+    def old(self, x=1,
+            y=2):  # head
+        """Old style.
+
+        BUSINESS_RULE: never
+        """
+        print x
+
+    # between
+    def fine(self):
+        return 1
+def one(): print 1
+def (:
+    pass
+'''
+
+
+def test_functions_of_a_file_with_errors(files):
+    df = files({"b.py": BROKEN})
+    rows = functions(df).orderBy("ordinal").collect()
+    assert [(r.name, r.start_line, r.end_line) for r in rows] == [
+        ("good", 4, 7),
+        ("nested", 6, 6),
+        ("old", 10, 16),
+        ("fine", 19, 20),
+        ("one", 21, 21),
+    ]
+    good, _, old, fine, one = rows
+    assert (one.signature, one.source_code) == ("def one()", "def one(): print 1")
+    assert (good.docstring, good.decorators) == ("Doc. def inner(): no", ["@deco", "@other(1)"])
+    assert good.signature == "def good(a: int) -> str"
+    assert old.docstring.startswith("Old style.") and old.markers == ["never"]
+    assert params(old) == [("x", None, "1"), ("y", None, "2")]
+    assert old.source_code.endswith("print x") and fine.source_code.startswith("    def fine")
+    assert parse_errors(df).count() == 1
+
+
+def test_bom_in_a_file_with_errors(found):
+    (f,) = found("﻿def f():\n    'doc BUSINESS_RULE: x'\n    return 1\n)\n")
+    assert (f.name, f.docstring, f.markers) == ("f", "doc BUSINESS_RULE: x", ["x"])
