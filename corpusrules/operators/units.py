@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .py_units import functions
+from .py_units import functions_of, parse_functions
 from .sql_units import IS_PY, all_sql
 
 
@@ -25,12 +27,31 @@ def as_units(found_functions: DataFrame | None, found_sql: DataFrame | None) ->
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
-def extract_units(files: DataFrame, dollar_quotes: bool = True) -> DataFrame:
-    """Every function and SQL block of a table of source files."""
-    readable = files.filter(F.col("content").isNotNull())
-    if "error" in files.columns:
-        readable = readable.drop("error")
-    return as_units(
-        functions(readable.filter(F.col("file_path").like(IS_PY))),
-        all_sql(readable, dollar_quotes),
-    )
+def python_files(files: DataFrame) -> DataFrame:
+    """Readable Python files of a table of files."""
+    wanted = files.filter(F.col("file_path").like(IS_PY) & F.col("content").isNotNull())
+    return wanted.drop("error")
+
+
+def extract_units(
+    files: DataFrame, dollar_quotes: bool = True, parsed: DataFrame | None = None
+) -> DataFrame:
+    """Every function and SQL block of a table of source files.
+
+    ``parsed`` is the result of ``parse_functions`` over the same files, if that is
+    kept in a table already.
+    """
+    if parsed is None:
+        parsed = parse_functions(python_files(files))
+    readable = files.filter(F.col("content").isNotNull()).drop("error")
+    return as_units(functions_of(parsed), all_sql(readable, dollar_quotes))
+
+
+def file_errors(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``(file_path, step, error)`` of files that could not be read or parsed as a whole."""
+    steps = [("read", files), ("parse", parsed)] if "error" in files.columns else [("parse", parsed)]
+    found = [
+        df.filter(F.col("error").isNotNull()).select("file_path", F.lit(step).alias("step"), "error")
+        for step, df in steps
+    ]
+    return reduce(DataFrame.unionByName, found)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import reports as R
 from ..operators.changes import REPORT_ORDER, change_counts, change_report, changes, snapshot
 from ..operators.classify import classify
-from ..operators.units import extract_units
+from ..operators.py_units import parse_functions
+from ..operators.units import extract_units, file_errors, python_files
 from ..sources import documents as D
 from ..sources.files import land_sources, read_landed, scan_sources
 from ..sources.snapshots import latest_snapshot, write_snapshot
@@ -41,17 +42,21 @@ def run_batch(
     files = read_landed(spark, f"{out_dir}/_tables/source_files").filter(
         F.col("commit") == run_id
     )
-    units_dir = f"{out_dir}/_tables/units/run_id={run_id}"
-    classify(extract_units(files), ambiguous).write.mode("overwrite").parquet(units_dir)
-    units = spark.read.parquet(units_dir)
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        path = f"{out_dir}/_tables/{name}/run_id={run_id}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    # a file that fails is noted and the run goes on
+    parsed = table(parse_functions(python_files(files)), "parsed")
+    table(file_errors(files, parsed), "errors")
+    units = table(classify(extract_units(files, parsed=parsed), ambiguous), "units")
 
     # the previous run has to be read before this one is added
     previous = latest_snapshot(spark, snapshot_table, before=run_ts)
     current = snapshot(units, run_id, run_ts, commit)
-    changed = changes(previous, current)
-    changed_dir = f"{out_dir}/_tables/changes/run_id={run_id}"
-    changed.write.mode("overwrite").parquet(changed_dir)
-    changed = spark.read.parquet(changed_dir)
+    changed = table(changes(previous, current), "changes")
 
     generated = run_ts.isoformat()
     D.write_lines(change_report(changed, generated), REPORT_ORDER, f"{out_dir}/changes")

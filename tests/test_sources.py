@@ -121,11 +121,12 @@ def test_run_batch(spark, tree, tmp_path):
     (tree / "a.py").write_text("def a():\n    return threshold\n")
     (tree / "q.sql").unlink()
     (tree / "new.sql").write_text("-- name: fresh\nSELECT 1;")
+    (tree / "bad.py").write_text("def ok(): pass\ndef (\n")
     second = run_batch(
         spark, str(tree), out, table, commit="c2", run_ts=t + datetime.timedelta(days=1)
     )
     assert {r.change: r.n for r in second.collect()} == {
-        "added": 1,
+        "added": 2,
         "removed": 1,
         "modified": 1,
         "reclassified": 1,
@@ -134,6 +135,8 @@ def test_run_batch(spark, tree, tmp_path):
     assert "## a" in "".join(p.read_text() for p in page.glob("part-*"))
     report = "".join(p.read_text() for p in sorted((tmp_path / "out/changes").glob("part-*")))
     assert "- `fresh` in `new.sql` (pipeline_code)" in report
+    (error,) = spark.read.parquet(f"{out}/_tables/errors/run_id=c2").collect()
+    assert (error.file_path, error.step) == ("bad.py", "parse")
     # a run that is repeated gives the same counts
     again = run_batch(
         spark, str(tree), out, table, commit="c2", run_ts=t + datetime.timedelta(days=1)
