@@ -17,7 +17,8 @@ IS_PY = "%.py"
 
 
 def carried(files: DataFrame) -> list[str]:
-    return [c for c in files.columns if c not in ("file_path", "content")]
+    """Columns of a table of files that go along with every unit, such as ``commit``."""
+    return [c for c in files.columns if c not in ("file_path", "content", "error")]
 
 
 def _generate(files: DataFrame, found: Column, *more: Column) -> DataFrame:
@@ -39,9 +40,10 @@ def _blocks(statements: DataFrame, name: Column | None = None) -> DataFrame:
     text = F.col("text")
     typed = statements.withColumn("sql_type", S.sql_type(text))
     named = S.sql_name(text, F.col("sql_type"))
+    own = ("file_path", "ordinal", "text", "start_line", "embedded")
     return typed.select(
         "file_path",
-        *[c for c in statements.columns if c not in ("file_path", "ordinal", "text", "start_line", "embedded")],
+        *[c for c in statements.columns if c not in own],
         "ordinal",
         (named if name is None else F.coalesce(name, named)).alias("name"),
         "start_line",

@@ -15,7 +15,7 @@ from ..operators.py_units import parse_functions
 from ..operators.units import extract_units, file_errors, python_files
 from ..sources import documents as D
 from ..sources.files import land_sources, read_landed, scan_sources
-from ..sources.snapshots import latest_snapshot, write_snapshot
+from ..sources.snapshots import latest_snapshot, one_run, write_snapshot
 
 
 def run_batch(
@@ -65,5 +65,5 @@ def run_batch(
     D.write_index(R.category_index(units), f"{out_dir}/categories")
     D.write_lines(R.overview_page(units, generated), ("part", "ordinal"), f"{out_dir}/index")
 
-    write_snapshot(current, snapshot_table)
+    write_snapshot(current, snapshot_table, one_run(spark, run_id, run_ts, commit))
     return change_counts(changed) if previous is not None else None

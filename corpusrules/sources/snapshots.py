@@ -34,26 +34,30 @@ def _overwrite(df: DataFrame, path: str) -> None:
     )
 
 
-def write_snapshot(snap: DataFrame, table: str, runs: DataFrame | None = None) -> None:
+def one_run(
+    spark: SparkSession, run_id: str, run_ts: datetime.datetime, commit: str | None = None
+) -> DataFrame:
+    return spark.createDataFrame(
+        [(run_id, run_ts, commit)], "run_id string, run_ts timestamp, commit string"
+    )
+
+
+def write_snapshot(snap: DataFrame, table: str, runs: DataFrame) -> None:
     """Add one or many runs to the history.
 
-    ``runs`` (``run_id, run_ts, commit``) names runs that may have no unit at all;
-    without it they are read off the rows.
+    ``runs`` (``run_id, run_ts, commit``) names the runs, since a run may have no
+    unit at all. ``snap`` is evaluated once; units are counted on what was written.
     """
     spark = snap.sparkSession
     _overwrite(snap, f"{table}/rows")
-    keys = ("run_id", "run_ts", "commit")
-    if runs is None:
-        runs = snap.select(*keys).distinct()
-    ids = runs.select("run_id")
     counts = (
         read_rows(spark, table)
-        .join(ids, "run_id", "left_semi")
+        .join(runs.select("run_id"), "run_id", "left_semi")
         .groupBy("run_id")
         .agg(F.count("*").alias("units"))
     )
     finished = runs.join(counts, "run_id", "left").select(
-        *keys, F.coalesce("units", F.lit(0)).alias("units")
+        "run_id", "run_ts", "commit", F.coalesce("units", F.lit(0)).alias("units")
     )
     _overwrite(finished, f"{table}/runs")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,7 +151,12 @@ def _runs(events: DataFrame) -> DataFrame:
 
 
 def run_batch_of_events(
-    batch: DataFrame, source_table: str, table: str, secret: str | None = None
+    batch: DataFrame,
+    source_table: str,
+    table: str,
+    secret: str | None = None,
+    ambiguous: Callable[[str], str] | None = None,
+    units_table: str | None = None,
 ) -> None:
     """Extract, label and snapshot the commits that a batch of events asks for.
 
@@ -173,7 +179,9 @@ def run_batch_of_events(
         before = latest_run(spark, table, before=first[0])
 
         wanted = files.join(runs.select("commit", "run_ts"), "commit")
-        units = classify(extract_units(wanted))
+        units = classify(extract_units(wanted), ambiguous)
+        if units_table is not None:
+            units = _kept_units(units, units_table, runs)
         write_snapshot(
             snapshot(units, F.col("commit"), F.col("run_ts"), F.col("commit")),
             table,
@@ -202,20 +210,37 @@ def run_batch_of_events(
         runs.unpersist()
 
 
+def _kept_units(units: DataFrame, units_table: str, runs: DataFrame) -> DataFrame:
+    """Write the units of a batch by commit and read them back."""
+    (
+        units.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("commit")
+        .parquet(units_table)
+    )
+    written = units.sparkSession.read.schema(units.schema).parquet(units_table)
+    return written.join(runs.select("commit"), "commit", "left_semi")
+
+
 def run_stream(
     events: DataFrame,
     source_table: str,
     table: str,
     checkpoint: str,
     secret: str | None = None,
+    ambiguous: Callable[[str], str] | None = None,
+    units_table: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start the stream: every event that passes the checks starts a run of its commit.
 
     ``source_table`` holds the landed files by commit (``land_sources``), ``table``
-    is the snapshot history.
+    is the snapshot history. With ``units_table`` the labelled units are kept by
+    commit too, so that reports can be written for any run.
     """
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: run_batch_of_events(batch, source_table, table, secret)
+        lambda batch, _: run_batch_of_events(
+            batch, source_table, table, secret, ambiguous, units_table
+        )
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -146,8 +146,10 @@ def test_history(spark, snap, tmp_path, caplog):
     assert N.latest_snapshot(spark, table) is None
     assert "no previous snapshot" in caplog.text
 
-    N.write_snapshot(snap(OLD, "one", TS), table)
-    N.write_snapshot(snap(NEW, "two", TS + datetime.timedelta(hours=1)), table)
+    later = TS + datetime.timedelta(hours=1)
+    one, two = N.one_run(spark, "one", TS), N.one_run(spark, "two", later, "c")
+    N.write_snapshot(snap(OLD, "one", TS), table, one)
+    N.write_snapshot(snap(NEW, "two", later), table, two)
     assert N.latest_run(spark, table) == "two"
     assert N.latest_run(spark, table, before=TS + datetime.timedelta(hours=1)) == "one"
     assert N.latest_run(spark, table, before=TS) is None
@@ -156,24 +158,23 @@ def test_history(spark, snap, tmp_path, caplog):
     assert "PartitionFilters: [isnotnull(run_id" in latest._jdf.queryExecution().toString()
 
     # the same run again replaces itself and nothing else
-    N.write_snapshot(snap(NEW[:2], "two", TS + datetime.timedelta(hours=1)), table)
+    N.write_snapshot(snap(NEW[:2], "two", later), table, two)
     assert N.latest_snapshot(spark, table).count() == 2
     assert N.read_rows(spark, table).count() == len(OLD) + 2
 
 
 def test_run_without_units_is_a_run(spark, snap, tmp_path):
     table = str(tmp_path / "history")
-    N.write_snapshot(snap(OLD, "one", TS), table)
+    N.write_snapshot(snap(OLD, "one", TS), table, N.one_run(spark, "one", TS))
     later = TS + datetime.timedelta(hours=1)
-    runs = spark.createDataFrame([("two", later, "c")], "run_id string, run_ts timestamp, commit string")
-    N.write_snapshot(snap([], "two", later), table, runs)
+    N.write_snapshot(snap([], "two", later), table, N.one_run(spark, "two", later))
     previous = N.latest_snapshot(spark, table)
     assert N.latest_run(spark, table) == "two" and previous.count() == 0
 
 
 def test_unreadable_history_is_a_first_run(spark, snap, tmp_path, caplog):
     table = tmp_path / "history"
-    N.write_snapshot(snap(OLD, "one", TS), str(table))
+    N.write_snapshot(snap(OLD, "one", TS), str(table), N.one_run(spark, "one", TS))
     for f in (table / "runs").rglob("*.parquet"):
         f.write_bytes(b"broken")
     for f in (table / "runs").rglob("*.crc"):

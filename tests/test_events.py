@@ -153,3 +153,22 @@ def test_stream(spark, tmp_path):
     # a lost checkpoint replays every event; nothing changes
     assert run("other") == expected
     assert read_rows(spark, table).count() == 5
+
+
+def test_stream_keeps_units_and_asks_about_ties(spark, tmp_path):
+    rows = [("a.sql", "SELECT 1;\nSELECT kpi;", "c1")]
+    spark.createDataFrame(rows, "file_path string, content string, commit string").write.partitionBy(
+        "commit"
+    ).parquet(str(tmp_path / "files"))
+    write_events(tmp_path / "in", "1.json", [("2024-01-01T00:00:00.000Z", "c1")])
+    E.run_stream(
+        E.read_push_events(spark, str(tmp_path / "in")), str(tmp_path / "files"), str(tmp_path / "h"),
+        str(tmp_path / "state"), SECRET, units_table=str(tmp_path / "units"),
+        ambiguous=lambda _: '{"classification": "business_logic", "reason": "asked"}',
+    ).awaitTermination(300)
+    units = spark.read.parquet(str(tmp_path / "units")).orderBy("ordinal").collect()
+    assert [(u.source_code, u.reason) for u in units] == [
+        ("SELECT 1;", "AI: asked"),
+        ("SELECT kpi;", "Matches 1 business logic patterns"),
+    ]
+    assert {r.classification for r in read_rows(spark, str(tmp_path / "h")).collect()} == {"business_logic"}

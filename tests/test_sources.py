@@ -6,6 +6,7 @@ import os
 import pytest
 
 from corpusrules.operators.py_units import functions
+from corpusrules.operators.sql_units import sql_blocks
 from corpusrules.operators.units import extract_units
 from corpusrules.plans.batch import run_batch
 from corpusrules.sources import files as S
@@ -87,6 +88,13 @@ def test_empty_tree(spark, tmp_path):
     assert S.scan_sources(spark, str(tmp_path)).count() == 0
 
 
+def test_operators_take_a_scan_as_it_is(spark, tree):
+    files = S.scan_sources(spark, str(tree), partitions=3)
+    assert files.rdd.getNumPartitions() == 3
+    assert {f.name for f in functions(files.filter("file_path like '%.py'")).collect()} == {"a", "init", "m"}
+    assert "error" not in sql_blocks(files).columns
+
+
 def test_in_memory(spark):
     (f,) = functions(S.in_memory(spark, "def f(): pass")).collect()
     assert f.file_path == "<source>"
