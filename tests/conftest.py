@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         spark__checkpoint__dir=str(shared),
         spark__driver__memory="4g",
         spark__sql__shuffle__partitions="2",
+        spark__sql__codegen__wholeStage="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

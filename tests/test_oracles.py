@@ -11,8 +11,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
-def con():
-    return duck(SF_DIR)
+def con(spark):
+    # other tests run without it, to save compile time
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield duck(SF_DIR)
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
 
 
 def test_every_query_has_an_oracle():
