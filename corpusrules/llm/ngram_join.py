@@ -185,7 +185,8 @@ def all_partners(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
     Of the document whose prefix ends first in the order, every token of the prefix that is
     common to both sets is among the shared ones, so the overlap is at most their number and
     what follows that prefix. A pair whose bound is below the overlap that its two sizes
-    ask for is left out; the bound is never weaker than the lesser m.
+    ask for, or that shares less than the lesser m, is left out before it becomes a row. A
+    document meets partners of its size and more under the early tokens of its prefix alone.
     """
     known = postings.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn(
         "label", F.coalesce("label", "doc")
@@ -193,20 +194,44 @@ def all_partners(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
     mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.where("lo <> hi").select("token")
     left = known.join(mixed, "token", "left_semi")
-    right = left.select(
-        "token", F.col("doc").alias("other"), F.col("n").alias("n_other"),
-        F.col("m").alias("m_other"), F.col("label").alias("label_other"),
-    )
-    met = left.join(right, "token").where(
-        (F.col("doc") < F.col("other")) & (F.col("label") != F.col("label_other")) & _fits(percent)
+    # what a document can share at all: its tokens that another class has too
+    own = left.groupBy("doc").agg(F.collect_list("token").alias("tokens"))  # a prefix at most
+    left = left.join(own, "doc").withColumns(
+        {"rest": _after("n", "m", percent), "most": F.size("tokens").cast("long")}
+    )
+    right = left.select("token", *[F.col(c).alias(f"{c}_other") for c in _SIDE])
+    common = F.size(F.array_intersect("tokens", "tokens_other")).cast("long")
+    smaller = (F.col("n") < F.col("n_other")) | (
+        (F.col("n") == F.col("n_other")) & (F.col("doc") < F.col("doc_other"))
     )
-    shared = met.groupBy("doc", "other", "n", "n_other", "m", "m_other").agg(
-        F.count("*").alias("c")
+    met = left.where("early").join(right, "token").where(
+        smaller
+        & (F.col("label") != F.col("label_other"))
+        & _fits(percent)
+        & _reaches(F.least("most", "most_other"), percent)
+        & (common >= F.least("m", "m_other"))
+        & _reaches(common, percent)
     )
-    rest = F.greatest(_after("n", "m", percent), _after("n_other", "m_other", percent))
-    needed = percent * (F.col("n") + F.col("n_other"))
-    enough = (F.col("c") >= F.least("m", "m_other")) & ((F.col("c") + rest) * (100 + percent) >= needed)
-    return shared.where(enough).select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
+    ends = F.least("doc", "doc_other").alias("a"), F.greatest("doc", "doc_other").alias("b")
+    return met.select(*ends).distinct()
+
+
+_SIDE = ("doc", "n", "m", "label", "tokens", "most", "rest")
+
+
+def _lead(percent: int):
+    """Last place of the part of a prefix that meets any partner of at least the same size.
+
+    Such a partner shares at least 2 t / (1 + t) of the set.
+    """
+    least = F.ceil(2 * percent * F.col("n") / (100 + percent))
+    return F.col("n") - least
+
+
+def _reaches(common, percent: int):
+    """Whether so many common prefix tokens leave room for the overlap that both sizes need."""
+    bound = common + F.greatest("rest", "rest_other")
+    return bound * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent
 
 
 def _after(n: str, m: str, percent: int):
@@ -247,7 +272,8 @@ def join_classes(
     heads = work.keep(
         prefixes(docs, counts, size, percent).join(nodes, "doc", "left_semi"), "prefixes"
     )
-    tokens = heads.select(F.explode("tokens").alias("token"), "doc", "n", "m")
+    tokens = heads.select(F.posexplode("tokens").alias("place", "token"), "doc", "n", "m")
+    tokens = tokens.select("token", "doc", "n", "m", (F.col("place") <= _lead(percent)).alias("early"))
     shared = tokens.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     shared = work.keep(shared.where("lo <> hi").select("token"), "shared-tokens")
     postings = work.keep(tokens.join(shared, "token", "left_semi"), "postings")
