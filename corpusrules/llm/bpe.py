@@ -15,6 +15,7 @@ them: those tokens are emitted every ``LOOK`` bytes and at the end of a piece.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 from array import array
@@ -28,8 +29,8 @@ from .rows import add_columns
 
 MAX_STATES = 150_000
 LOOK = 4096
-MAX_PIECES = 300_000
-MAX_HELD = 8_000_000
+MAX_PIECES = 600_000
+MAX_HELD = 12_000_000
 
 #: UTF-8: length of the character that a lead byte begins.
 _LEAD = [1] * 0x80 + [0] * 0x42 + [2] * 0x1E + [3] * 0x10 + [4] * 0x5 + [0] * 0xB
@@ -47,6 +48,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.next: dict[int, int] = {}
         self.accepts: dict[int, int] = {}
         self.depth = [0]
@@ -140,14 +142,17 @@ class Transducer:
     def determinise(self, state: int, byte: int) -> tuple[int, int]:
         """Target of a transition that no text has needed before, and the last token there."""
         grown, last = [], -1
+        step, accepts, follows = self.next.get, self.accepts.get, self.follows.get
         for node, left in self.states[state]:
-            node = self.next.get(node << 8 | byte)
+            node = step(node << 8 | byte)
             if node is not None:
                 grown.append((node, left))
                 if last < 0:
-                    rank = self.accepts.get(node, -1)
-                    if rank >= 0 and self.may_follow(left, rank):
-                        last = rank
+                    rank = accepts(node, -1)
+                    if rank >= 0:
+                        good = follows(left << 32 | rank) if left >= 0 else None
+                        if self.may_follow(left, rank) if good is None else good:
+                            last = rank
         if last < 0:
             raise ValueError("the ranks lack single bytes")
         grown.append((0, last))
@@ -168,7 +173,7 @@ class Transducer:
             at, chain = here - self.depth[node], []
             while at > done:
                 chain.append(lasts[at - done - 1])
-                at -= len(self.token[chain[-1]])
+                at -= self.size[chain[-1]]
             chains.append(chain[::-1])
         out = []
         for tokens in zip(*chains, strict=False):
@@ -196,11 +201,15 @@ class Transducer:
             lasts.append(last)
             if len(lasts) >= LOOK:
                 tokens = self.agreed(state, lasts, done)
-                size = sum(len(self.token[t]) for t in tokens)
+                size = sum(self.size[t] for t in tokens)
                 out += tokens
                 del lasts[:size]
                 done += size
-        return out + self.agreed(self.number(((0, -1),)), lasts, done)
+        behind = []
+        while lasts:
+            behind.append(lasts[-1])
+            del lasts[-self.size[behind[-1]] :]
+        return out + behind[::-1]
 
 
 class StreamDecoder:
@@ -272,8 +281,11 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One per Python worker and rank file."""
-    return Codec(read_ranks(path), pattern)
+    """One per Python worker and rank file; its tables hold no cycles to look for."""
+    made = Codec(read_ranks(path), pattern)
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 1000)
+    return made
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
