@@ -48,9 +48,12 @@ ALLOWED = (
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """url, label (1: block) for the host names above, with each prefix, ending and path."""
-    hosts = spark.createDataFrame(
-        [(h, 1.0) for h in BLOCKED] + [(h, 0.0) for h in ALLOWED], "name string, label double"
-    )
+
+    def named(names: list[str], label: float) -> DataFrame:
+        each = F.explode(F.split(F.lit(" ".join(names)), " ")).alias("name")
+        return spark.range(1).select(each, F.lit(label).alias("label"))
+
+    hosts = named(BLOCKED, 1.0).union(named(ALLOWED, 0.0))
     forms = F.array(
         *[
             F.struct(F.lit(a).alias("before"), F.lit(b).alias("after"))
