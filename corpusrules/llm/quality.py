@@ -165,5 +165,9 @@ def keep_good(df: DataFrame, text_col: str = "text", version: str = POLICY) -> D
     """Rows of ``df`` that the policy keeps, with their own columns."""
     names = df.columns
     marked = df.select(*[col(c).alias(f"__{i}") for i, c in enumerate(names)])
-    judged = apply_policy(ledger(marked, f"__{names.index(text_col)}"), version).where("kept")
+    judged = apply_policy(ledger(marked, f"__{names.index(text_col)}"), version)
+    # a number per row keeps the optimiser from moving the filter below the measurements,
+    # which would write each of them out anew wherever a rule names it
+    once = F.monotonically_increasing_id() >= 0
+    judged = judged.withColumn("kept", F.col("kept") & once).where("kept")
     return judged.select(*[col(f"__{i}").alias(c) for i, c in enumerate(names)])
