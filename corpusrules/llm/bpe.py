@@ -22,8 +22,10 @@ from array import array
 from functools import lru_cache
 from itertools import chain
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .rows import add_columns
 
@@ -304,23 +306,18 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> Da
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded binary``, the bytes of ``ids_col``; null or empty gives none."""
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     kept = df.drop("decoded")
+    names = [*kept.columns, "decoded"]
     at = kept.columns.index(ids_col)
 
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            out = [c.decode(ids.as_py() or []) for ids in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.binary())], names=[*kept.columns, "decoded"]
-            )
+            out = pa.array([c.decode(ids.as_py() or []) for ids in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return kept.select(F.col("*")).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
