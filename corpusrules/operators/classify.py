@@ -16,8 +16,6 @@ BUSINESS = "business_logic"
 PIPELINE = "pipeline_code"
 NO_MATCH = "No clear patterns matched, defaulting to pipeline_code"
 BAD_ANSWER = "AI classification failed, defaulting to pipeline_code"
-# Fixed value: longest source sent to an external classifier, in characters.
-REQUEST_SOURCE_LENGTH = 2000
 
 RESULT = ("classification", "confidence", "reason")
 
@@ -107,13 +105,18 @@ def _default(reason: str = NO_MATCH) -> Column:
     return _result(PIPELINE, "low", F.lit(reason))
 
 
-def request_text(limit: int = REQUEST_SOURCE_LENGTH) -> Column:
-    """Question about one unit for an external classifier."""
-    source = F.col("source_code")
-    shown = F.when(
-        F.length(source) > limit,
-        F.concat(F.substring(source, 1, limit), F.lit(f"{NL}... (truncated)")),
-    ).otherwise(source)
+def request_text(limit: int | None = None) -> Column:
+    """Question about one unit for an external classifier.
+
+    The whole source is shown; ``limit`` cuts it after that many characters, for a
+    classifier that takes no more.
+    """
+    shown = source = F.col("source_code")
+    if limit is not None:
+        shown = F.when(
+            F.length(source) > limit,
+            F.concat(F.substring(source, 1, limit), F.lit(f"{NL}... (truncated)")),
+        ).otherwise(source)
     description = F.nullif(F.col("description"), F.lit(""))
     return F.concat_ws(
         NL,
@@ -136,11 +139,11 @@ def request_text(limit: int = REQUEST_SOURCE_LENGTH) -> Column:
     )
 
 
-def ambiguous_requests(units: DataFrame) -> DataFrame:
+def ambiguous_requests(units: DataFrame, limit: int | None = None) -> DataFrame:
     """Units that neither markers nor scores decide, with the question to ask."""
     # an explode, not a filter: a filter would be pushed below the scores and
     # evaluate all of them again
-    undecided = F.when(F.col("__verdict").isNull(), F.array(request_text()))
+    undecided = F.when(F.col("__verdict").isNull(), F.array(request_text(limit)))
     return _scored(units).select(*units.columns, F.explode(undecided).alias("request"))
 
 
@@ -193,13 +196,17 @@ def _asker(ask: Callable[[str], str]):
 
 
 def classify(
-    units: DataFrame, ambiguous: Callable[[str], str] | None = None, partitions: int | None = None
+    units: DataFrame,
+    ambiguous: Callable[[str], str] | None = None,
+    partitions: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``classification``, ``confidence`` and ``reason`` to every unit.
 
     ``ambiguous`` is asked about undecided units only: it gets the request text
     and returns the answer text. Other rows send a null to the Python worker, so
-    the corpus is read once. ``partitions`` bounds the number of calls at a time.
+    the corpus is read once. ``partitions`` bounds the number of calls at a time,
+    ``limit`` the characters of source in a request (the whole source without it).
     Keep the result in a table before using it twice, or calls are repeated.
     """
     verdict = F.col("__verdict")
@@ -209,7 +216,7 @@ def classify(
     else:
         if partitions is not None:
             scored = scored.repartition(partitions)
-        request = F.when(verdict.isNull(), request_text())
+        request = F.when(verdict.isNull(), request_text(limit))
         scored = scored.withColumn("__answer", _asker(ambiguous)(request))
         result = F.coalesce(verdict, answer_result(F.col("__answer")))
     # inline of one element instead of struct fields: a later filter on the label

@@ -262,8 +262,7 @@ _REQUEST = f"""concat_ws({NL},
   'business_logic: rules, thresholds, validation, scores and status values.',
   'pipeline_code: reading, writing or moving data, connections and set-up.',
   '', 'Function: '||name, 'Description: '||description, '', 'Source Code:', '```',
-  case when length(source_code) > 2000
-    then substr(source_code, 1, 2000)||{NL}||'... (truncated)' else source_code end,
+  source_code,
   '```', '', 'Answer with JSON only, in this form:',
   '{{"classification": "business_logic" or "pipeline_code", "reason": "brief explanation"}}')"""
 

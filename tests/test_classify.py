@@ -134,7 +134,9 @@ def test_only_ties_are_asked(spark):
 def test_request_text(spark):
     long = "z" * 2500
     df = spark.createDataFrame([("a", long, "about", []), ("b", "s", "", []), ("c", "policy", None, [])], SCHEMA)
-    rows = {r.name: r.request for r in K.ambiguous_requests(df).collect()}
+    whole = {r.name: r.request for r in K.ambiguous_requests(df).collect()}
+    assert long in whole["a"] and "truncated" not in whole["a"]
+    rows = {r.name: r.request for r in K.ambiguous_requests(df, limit=2000).collect()}
     assert set(rows) == {"a", "b"}
     assert "Function: a\nDescription: about\n" in rows["a"]
     assert "z" * 2000 + "\n... (truncated)\n" in rows["a"] and "z" * 2001 not in rows["a"]
