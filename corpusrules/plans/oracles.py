@@ -552,9 +552,6 @@ from ranked where last = 1""",
 select kind, file_path, name, change, prev_hash, curr_hash,
   case when change = 'reclassified' then c1 end as from_class,
   case when change = 'reclassified' then c2 end as to_class, 0::integer as position from changed""",
-    "first_run_changes": f"""{_VERSIONS}
-select 'sql' as kind, file_path, name, 'added' as change, hash as curr_hash, 0::integer as position
-from v1""",
     "change_counts": f"""{CHANGED}
 select c.change, count(changed.change) as n
 from (values ('added'), ('removed'), ('modified'), ('reclassified')) c(change)
@@ -579,3 +576,5 @@ from labelled group by rollup(classification)""",
 select kind, file_path, ordinal::integer as ordinal, name, start_line::integer as start_line,
   md5(source_code) as text_md5 from units""",
 }
+ORACLES["first_run_changes"] = f"""select kind, file_path, name, 'added' as change, hash as curr_hash, position
+from ({ORACLES["snapshot_rows"]})"""
