@@ -167,21 +167,45 @@ def function_facts(source: str) -> list[dict]:
 
 # --- texts that do not parse as a whole ---------------------------------------------------
 
-_DEF = re.compile(r"([ \t]*)(?:async[ \t]+)?def[ \t]+\w+[ \t]*\(")
+_DEF = re.compile(r"([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(")
 _SPACE_OR_COMMENT = re.compile(r"\s*(?:#|$)")
 _DOC = re.compile(r"\s*[A-Za-z]*(\"\"\"|'''|\"|')[\s\S]*?\1[ \t\r]*(?:\n|$)")
+_HIDDEN = re.compile(
+    r"#[^\n]*|(\"\"\"|''')(?:\\[\s\S]|[^\\])*?\1|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+)
+_MARK = re.compile(r"[()\[\]{}:]")
 
 
-def _block_end(lines: list[str], first: int) -> int:
+def _outside_strings(text: str) -> tuple[list[str], set[int]]:
+    """Lines with comments blank and strings as x, places kept; lines that begin in a string.
+
+    A quote that is never closed hides nothing.
+    """
+
+    def hide(m: re.Match) -> str:
+        return re.sub(r"[^\n]", " " if m.group().startswith("#") else "x", m.group())
+
+    inside: set[int] = set()
+    line = at = 0
+    for m in _HIDDEN.finditer(text):
+        line += text.count("\n", at, m.start())
+        more = m.group().count("\n")
+        inside.update(range(line + 1, line + more + 1))
+        line, at = line + more, m.end()
+    return _HIDDEN.sub(hide, text).split("\n"), inside
+
+
+def _block_end(lines: list[str], inside: set[int], first: int) -> int:
     """Line after the block that starts at ``first``, by indentation."""
     indent = len(_DEF.match(lines[first]).group(1).expandtabs())
     end = first + 1
     for i in range(first + 1, len(lines)):
         line = lines[i].expandtabs()
-        if _SPACE_OR_COMMENT.match(line):
-            continue
-        if len(line) - len(line.lstrip()) <= indent and not line.lstrip().startswith(")"):
-            break
+        if i not in inside:
+            if _SPACE_OR_COMMENT.match(line):
+                continue
+            if len(line) - len(line.lstrip()) <= indent and not line.lstrip().startswith(")"):
+                break
         end = i + 1
     return end
 
@@ -194,25 +218,39 @@ def _parsed(lines: list[str], indented: bool) -> tuple[ast.Module, _Text] | None
         return None
 
 
-def _head_only(block: list[str], indented: bool) -> tuple[ast.Module, _Text] | None:
-    """The head of a function, with its docstring if that follows."""
-    open_brackets = 0
-    for n, line in enumerate(block, 1):
-        for colon in (i for i, c in enumerate(line) if c == ":"):
-            head = _parsed([*block[: n - 1], line[: colon + 1] + " pass"], indented)
-            if head is None:
-                continue
-            rest = "\n".join(block[n:])
-            doc = _DOC.match(rest)
-            if doc is None or not _SPACE_OR_COMMENT.match(line, colon + 1):
-                return head
-            return _parsed(block[:n] + rest[: doc.end()].rstrip().split("\n"), indented) or head
-        open_brackets += line.count("(") - line.count(")")
-        if open_brackets <= 0:
+def _head_end(shown: list[str]) -> tuple[int, int] | None:
+    """Line and place of the colon behind the brackets of a head, in one pass."""
+    depth = 0
+    for n, line in enumerate(shown):
+        for m in _MARK.finditer(line):
+            if m.group() == ":":
+                if depth == 0:
+                    return n, m.start()
+            else:
+                depth += 1 if m.group() in "([{" else -1
+        if depth <= 0:
             return None
     return None
 
 
+def _head_only(
+    block: list[str], shown: list[str], indented: bool
+) -> tuple[ast.Module, _Text] | None:
+    """The head of a function, with its docstring if that follows."""
+    colon = _head_end(shown)
+    if colon is None:
+        return None
+    n, place = colon
+    head = _parsed([*block[:n], block[n][: place + 1] + " pass"], indented)
+    if head is None:
+        return None
+    rest = "\n".join(block[n + 1 :])
+    doc = _DOC.match(rest)
+    if doc is None or not _SPACE_OR_COMMENT.match(block[n], place + 1):
+        return head
+    return _parsed(block[: n + 1] + rest[: doc.end()].rstrip().split("\n"), indented) or head
+
+
 def _decorators_above(lines: list[str], first: int) -> list[str]:
     kept: list[str] = []
     while first > 0 and lines[first - 1].strip().startswith("@"):
@@ -221,33 +259,53 @@ def _decorators_above(lines: list[str], first: int) -> list[str]:
     return kept
 
 
+def _unread_head(block: list[str], shown: list[str], name: str, line: int) -> dict:
+    """Facts of a function with a head that does not parse: its docstring is still found."""
+    facts = {"name": name, "start_line": line, "parameters": [], "return_type": None}
+    facts |= {"doc_literal": None, "doc_offset": None}
+    colon = _head_end(shown)
+    if colon is None or not _SPACE_OR_COMMENT.match(block[colon[0]], colon[1] + 1):
+        return facts
+    above = "\n".join(block[: colon[0] + 1]) + "\n"
+    doc = _DOC.match("\n".join(block[colon[0] + 1 :]))
+    if doc is not None and _parsed([doc.group().strip()], False):
+        blank = len(doc.group()) - len(doc.group().lstrip())
+        facts |= {"doc_literal": doc.group().strip(), "doc_offset": len(above) + blank}
+    return facts
+
+
 def salvaged_facts(source: str) -> list[dict]:
     """Facts from a text with errors: each function is parsed on its own.
 
-    A function that does not parse either gives what its head and docstring say.
+    A function that does not parse either gives what its head and docstring say; one whose
+    head cannot be read gives name, lines and source. Text in strings starts no function.
     """
     lines = source.split("\n")
-    body = source.removeprefix(BOM).split("\n")
+    text = source.removeprefix(BOM)
+    body = text.split("\n")
+    shown, inside = _outside_strings(text)
     facts: list[dict] = []
     done = 0
-    for first, line in enumerate(body):
-        head = _DEF.match(line)
-        if head is None or first < done:
+    for first, line in enumerate(shown):
+        head = None if first < done or first in inside else _DEF.match(line)
+        if head is None:
             continue
-        end = _block_end(body, first)
+        end = _block_end(shown, inside, first)
         block, indented = body[first:end], bool(head.group(1))
         whole = _parsed(block, indented)
-        tree, text = whole or _head_only(block, indented) or (None, None)
-        if tree is None:
-            continue
-        nodes = _functions_in(tree)
+        read = whole or _head_only(block, shown[first:end], indented)
+        if read is None:
+            found = [_unread_head(block, shown[first:end], head.group(2), first + 1)]
+            if first == 0 and source.startswith(BOM) and found[0]["doc_offset"] is not None:
+                found[0]["doc_offset"] += 1
+        else:
+            nodes = _functions_in(read[0])
+            nodes = nodes if whole else nodes[:1]
+            found = [_facts_of(node, read[1], lines, first - int(indented)) for node in nodes]
         if whole:
             done = end
         else:
-            nodes = nodes[:1]
-        found = [_facts_of(node, text, lines, first - int(indented)) for node in nodes]
-        found[0]["decorators"] = _decorators_above(body, first)
-        if not whole:
             found[0] |= {"end_line": end, "source_code": "\n".join(lines[first:end])}
+        found[0]["decorators"] = _decorators_above(body, first)
         facts += found
     return facts
