@@ -215,5 +215,7 @@ def sql_tables(text: Column) -> Column:
 
 def sql_columns(text: Column) -> Column:
     """Output names of the first SELECT list: the last word of each comma part."""
-    select_list = F.regexp_extract(text, rf"(?i)SELECT{WS}+([\s\S]*?){WS}+FROM", 1)
+    # where no FROM follows the first SELECT none follows a later one, so only one is tried
+    first = rf"(?i)\A(?>[\s\S]*?SELECT{WS}){WS}*+"
+    select_list = F.regexp_extract(text, rf"{first}([\s\S]*?)(?<!{WS}){WS}++FROM", 1)
     return F.array_distinct(extract_all(select_list, rf"(?<![A-Za-z0-9_])(\w++){WS}*+(?:,|\z)"))

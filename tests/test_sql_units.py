@@ -191,6 +191,26 @@ def test_large_file_is_linear(spark):
     assert tuple(out) == (n, 3 * n - 1, sum(3 * i + 2 for i in range(n)))
 
 
+def test_columns_of_large_statement_are_linear(spark):
+    """1 MB of SELECTs without any FROM, and the same with one at the end."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from corpusrules.functions.sql_text import sql_columns
+
+    many = F.repeat(F.lit("SELECT a,  b UNION ALL\n"), 45000)
+    start = time.monotonic()
+    row = spark.range(1).select(
+        sql_columns(many).alias("none"),
+        sql_columns(F.concat(many, F.lit("SELECT c FROM t"))).alias("one"),
+        sql_columns(F.lit("SELECT  FROM t")).alias("blank"),
+        sql_columns(F.lit("xSELECT\n x.a , b  AS  c\n\n from t")).alias("plain"),
+    ).first()
+    assert (row.none, row.one, row.blank, row.plain) == ([], ["a", "c"], [], ["a", "c"])
+    assert time.monotonic() - start < 30
+
+
 # --- embedded ----------------------------------------------------------------------------
 
 
