@@ -9,6 +9,8 @@ Land a tree once with ``land_sources`` and let analytics read that table.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ SUFFIXES = {"py": ".py", "sql": ".sql", "py_sql": ".py"}
 SCHEMA = "file_path string, content string, error string"
 # listing tasks to aim for: folders are opened on the driver until there are so many
 _LISTING_TASKS = 64
+# commits whose partition folder is named as they are
+_PLAIN_COMMIT = re.compile(r"[A-Za-z0-9._-]+")
 # bytes of source text per record batch
 _BATCH_BYTES = 16 * 1024 * 1024
 
@@ -58,12 +62,24 @@ class _ListingReader(DataSourceReader):
         return not any(f in self.skipped[suffix] for f in folders)
 
     def _open(self, filesystem, base: str, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
-        """Sub-folders and wanted files of one folder, relative to the root."""
+        """Sub-folders and wanted files of one folder, relative to the root.
+
+        Links to folders are not entered. A folder that cannot be opened is listed as
+        if it were a file, so that reading it gives its error row; the root must open.
+        """
         folders, files = [], []
-        for info in filesystem.get_file_info(fs.FileSelector(base + folder)):
+        try:
+            found = filesystem.get_file_info(fs.FileSelector(base + folder))
+        except OSError:
+            if not folder:
+                raise
+            return [], [(folder, 0)]
+        local = isinstance(filesystem, fs.LocalFileSystem)
+        for info in found:
             path = info.path.removeprefix(base)
             if info.type == fs.FileType.Directory:
-                if not info.base_name.startswith(".") and info.base_name not in self.never:
+                skipped = info.base_name.startswith(".") or info.base_name in self.never
+                if not skipped and not (local and os.path.islink(info.path)):
                     folders.append(path)
             elif self._wanted(path):
                 files.append((path, info.size or 0))
@@ -160,7 +176,14 @@ def read_errors(files: DataFrame) -> DataFrame:
 
 
 def land_sources(files: DataFrame, table_dir: str, commit: str | Column) -> None:
-    """Write a scanned tree as Parquet, one partition per commit; a second run replaces it."""
+    """Write a scanned tree as Parquet, one partition per commit.
+
+    A second run replaces the commit. With ``commit`` as a text that holds for an empty tree
+    too; a column names the commits to replace by its rows.
+    """
+    if isinstance(commit, str) and _PLAIN_COMMIT.fullmatch(commit):
+        files.write.mode("overwrite").parquet(f"{table_dir}/commit={commit}")
+        return
     value = commit if isinstance(commit, Column) else F.lit(commit)
     (
         files.withColumn("commit", value.cast("string"))

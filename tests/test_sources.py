@@ -150,3 +150,43 @@ def test_run_batch(spark, tree, tmp_path):
         spark, str(tree), out, table, commit="c2", run_ts=t + datetime.timedelta(days=1)
     )
     assert sorted(again.collect()) == sorted(second.collect())
+
+
+def test_links_to_folders_are_not_entered(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("")
+    os.symlink(tmp_path, tmp_path / "a" / "loop")
+    os.symlink(tmp_path / "a" / "x.py", tmp_path / "a" / "y.py")
+    assert paths(S.list_sources(spark, str(tmp_path))) == ["a/x.py", "a/y.py"]
+
+
+def test_folder_that_fails_is_an_error_row(monkeypatch, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "a.py").write_text("")
+    reader = S._ListingReader(str(tmp_path), (".py",), {".py": ()})
+    plain = S.fs.FileSelector
+
+    def selector(path):
+        if path.endswith("bad"):
+            raise PermissionError(path)
+        return plain(path)
+
+    monkeypatch.setattr(S.fs, "FileSelector", selector)
+    found = [row for part in reader.partitions() for row in reader.read(part)]
+    assert sorted(found) == [("a.py", 0), ("bad", 0)]
+
+
+def test_reading_a_listed_folder_is_an_error(spark, tmp_path):
+    (tmp_path / "bad").mkdir()
+    listed = spark.createDataFrame([("bad", 0)], "file_path string, n_bytes long")
+    row = S.read_files(listed, str(tmp_path)).first()
+    assert row.file_path == "bad" and row.content is None and row.error
+
+
+def test_landing_an_empty_tree_replaces(spark, tree, tmp_path):
+    files, table = S.scan_sources(spark, str(tree)), str(tmp_path / "landed")
+    S.land_sources(files, table, "one")
+    S.land_sources(files.limit(0), table, "one")
+    assert S.read_landed(spark, table).count() == 0
+    S.land_sources(files, table, "one")
+    assert {r.commit for r in S.read_landed(spark, table).collect()} == {"one"}
