@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 from collections.abc import Callable
 
@@ -162,9 +163,12 @@ def run_batch_of_events(
 
     All commits of the batch are one job over the landed files (listed anew for
     each batch), read by commit. Every write replaces the run it belongs to, so a repeated batch changes nothing.
-    Events whose commit has no files start no run.
+    Events whose commit has no files start no run. An event without ``ts`` runs at the time
+    of its batch.
     """
     spark = batch.sparkSession
+    now = F.lit(datetime.datetime.now(datetime.timezone.utc)).cast("timestamp")
+    batch = batch.withColumn("ts", F.coalesce("ts", now) if "ts" in batch.columns else now)
     files = read_landed(spark, source_table)
     asked = handle_events(batch, secret).filter(F.col("action") == "run")
     # read by commit: only the partitions of the commits of this batch

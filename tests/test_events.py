@@ -172,3 +172,17 @@ def test_stream_keeps_units_and_asks_about_ties(spark, tmp_path):
         ("SELECT kpi;", "Matches 1 business logic patterns"),
     ]
     assert {r.classification for r in read_rows(spark, str(tmp_path / "h")).collect()} == {"business_logic"}
+
+
+def test_events_without_time_run_at_the_time_of_the_batch(spark, tmp_path):
+    rows = [("a.sql", "SELECT 1;", "c1")]
+    spark.createDataFrame(rows, "file_path string, content string, commit string").write.partitionBy(
+        "commit"
+    ).parquet(str(tmp_path / "files"))
+    body = json.dumps({"ref": "refs/heads/main", "head_commit": {"id": "c1"}})
+    row = (1, "push", "POST", "/", sign(body), body)
+    schema = "event_id long, event string, method string, url string, signature string, body string"
+    batch = spark.createDataFrame([row], schema)
+    E.run_batch_of_events(batch, str(tmp_path / "files"), str(tmp_path / "h"), SECRET)
+    (found,) = read_rows(spark, str(tmp_path / "h")).collect()
+    assert found.run_id == "c1" and found.run_ts is not None
