@@ -32,10 +32,12 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Postings that one comparison of two documents is worth.
 COMPARE_COST = 20
 PARTNERS = 2
+#: Bitmap of a set: so many 64-bit numbers (a power of two), a column each.
+BITMAP = [f"w{i}" for i in range(8)]
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, fp of each row; and the counts of all shingles, in pieces per task."""
+    """doc_id, n, fp, bitmap of each row; and the counts of all shingles, in pieces per task."""
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
@@ -44,16 +46,27 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 s = shingles(text.as_py(), size)
                 np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-                out.append((doc_id.as_py(), len(s), fingerprint(s), None, None))
+                out.append((doc_id.as_py(), len(s), fingerprint(s), None, None, *bitmap(s)))
             yield from batches_of(out, names, kinds)
         for piece in range(SKETCH // PIECE):
             part = counts[piece * PIECE : (piece + 1) * PIECE]
             if part.any():
-                yield from batches_of([(None, None, None, piece, part.tobytes())], names, kinds)
+                row = (None, None, None, piece, part.tobytes(), *[None] * len(BITMAP))
+                yield from batches_of([row], names, kinds)
 
-    names = ["doc_id", "n", "fp", "piece", "counts"]
+    names = ["doc_id", "n", "fp", "piece", "counts", *BITMAP]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, piece int, counts binary")
+    kinds += [pa.int64()] * len(BITMAP)
+    schema = "doc_id long, n long, fp binary, piece int, counts binary"
+    return docs.mapInArrow(run, ", ".join([schema, *(f"{w} long" for w in BITMAP)]))
+
+
+def bitmap(s: np.ndarray) -> list[int]:
+    """One bit for each shingle of a set, by the top of its hash; different ones may share a bit."""
+    size = 64 * len(BITMAP)
+    flags = np.zeros(size, bool)
+    flags[(s >> np.uint64(65 - size.bit_length())).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64).tolist()
 
 
 def merged_counts(rows: DataFrame) -> np.ndarray:
@@ -179,14 +192,18 @@ def few_partners(postings: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def all_partners(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes that share enough tokens of their prefixes.
-
-    Of the document whose prefix ends first in the order, every token of the prefix that is
-    common to both sets is among the shared ones, so the overlap is at most their number and
-    what follows that prefix. A pair whose bound is below the overlap that its two sizes
-    ask for, or that shares less than the lesser m, is left out before it becomes a row. A
-    document meets partners of its size and more under the early tokens of its prefix alone.
+def all_partners(
+    postings: DataFrame, labels: DataFrame, bitmaps: DataFrame, percent: int
+) -> DataFrame:
+    """All pairs of different classes whose prefixes meet and whose sets may be similar enough.
+
+    A bit that is set in one bitmap only stands for a shingle that the other set lacks. So the
+    number of such bits bounds the overlap from above, and a pair whose bound is below what its
+    two sizes ask for is left out before it becomes a row. So is one that shares less than
+    the lesser m, or than its two prefixes must share, as far as the numbers of tokens that
+    each has in common with any other class tell. A document meets partners of its size and
+    more under the early tokens of its prefix alone. ``bitmaps`` (doc, n, bitmap) may have
+    several rows for an id that is repeated; what they add is left to the exact comparison.
     """
     known = postings.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn(
         "label", F.coalesce("label", "doc")
@@ -194,29 +211,34 @@ def all_partners(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
     mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.where("lo <> hi").select("token")
     left = known.join(mixed, "token", "left_semi")
-    # what a document can share at all: its tokens that another class has too
-    own = left.groupBy("doc").agg(F.collect_list("token").alias("tokens"))  # a prefix at most
-    left = left.join(own, "doc").withColumns(
-        {"rest": _after("n", "m", percent), "most": F.size("tokens").cast("long")}
-    )
+    # how much a document can share at all: its tokens that another class has too
+    own = left.groupBy("doc").agg(F.count("*").alias("most"))
+    left = left.join(own, "doc").join(bitmaps, ["doc", "n"]).withColumn("rest", _after("n", "m", percent))
     right = left.select("token", *[F.col(c).alias(f"{c}_other") for c in _SIDE])
-    common = F.size(F.array_intersect("tokens", "tokens_other")).cast("long")
     smaller = (F.col("n") < F.col("n_other")) | (
         (F.col("n") == F.col("n_other")) & (F.col("doc") < F.col("doc_other"))
     )
+    most = F.least("most", "most_other")
     met = left.where("early").join(right, "token").where(
         smaller
         & (F.col("label") != F.col("label_other"))
         & _fits(percent)
-        & _reaches(F.least("most", "most_other"), percent)
-        & (common >= F.least("m", "m_other"))
-        & _reaches(common, percent)
+        & (most >= F.least("m", "m_other"))
+        & _reaches(most, percent)
+        & _overlaps(percent)
     )
     ends = F.least("doc", "doc_other").alias("a"), F.greatest("doc", "doc_other").alias("b")
     return met.select(*ends).distinct()
 
 
-_SIDE = ("doc", "n", "m", "label", "tokens", "most", "rest")
+_SIDE = ("doc", "n", "m", "label", "most", "rest", *BITMAP)
+
+
+def _overlaps(percent: int):
+    """Whether the bitmaps leave room for the overlap that both sizes need."""
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_other"))) for w in BITMAP), F.lit(0))
+    both = F.col("n") + F.col("n_other")
+    return (both - apart) * (100 + percent) >= 2 * percent * both
 
 
 def _lead(percent: int):
@@ -281,7 +303,8 @@ def join_classes(
 
     links = work.keep(verified(few_partners(postings, percent), docs, size, percent), "links")
     labels = components(copies.union(links), work, "first")
-    pairs = work.keep(all_partners(postings, labels, percent), "pairs")
+    bitmaps = signed.where("n > 0").select(F.col("doc_id").alias("doc"), "n", *BITMAP)
+    pairs = work.keep(all_partners(postings, labels, bitmaps, percent), "pairs")
     more = work.keep(verified(pairs, docs, size, percent), "more-links")
     labels = components(copies.union(links).union(more), work, "last")
     labels = labels.withColumnsRenamed({"v": "doc_id", "label": "component_id"})
