@@ -6,7 +6,6 @@ import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators.changes import REPORT_ORDER, change_counts, change_report, changes, snapshot
@@ -39,9 +38,7 @@ def run_batch(
     run_id = commit or run_ts.strftime("%Y%m%dT%H%M%S%f")
 
     land_sources(scan_sources(spark, root), f"{out_dir}/_tables/source_files", run_id)
-    files = read_landed(spark, f"{out_dir}/_tables/source_files").filter(
-        F.col("commit") == run_id
-    )
+    files = read_landed(spark, f"{out_dir}/_tables/source_files", [run_id])
 
     def table(df: DataFrame, name: str) -> DataFrame:
         path = f"{out_dir}/_tables/{name}/run_id={run_id}"

@@ -10,7 +10,6 @@ Land a tree once with ``land_sources`` and let analytics read that table.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,16 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .partitions import partition_path, read_partitions
+
 # Directories that are never entered. Names that start with a dot are not either.
 SKIPPED_DIRECTORIES = ("node_modules", "__pycache__", "venv", ".venv")
 SQL_SKIPPED_DIRECTORIES = ("node_modules",)
 SUFFIXES = {"py": ".py", "sql": ".sql", "py_sql": ".py"}
 
 SCHEMA = "file_path string, content string, error string"
+LANDED_SCHEMA = f"{SCHEMA}, commit string"
 # listing tasks to aim for: folders are opened on the driver until there are so many
 _LISTING_TASKS = 64
-# commits whose partition folder is named as they are
-_PLAIN_COMMIT = re.compile(r"[A-Za-z0-9._-]+")
 # bytes of source text per record batch
 _BATCH_BYTES = 16 * 1024 * 1024
 
@@ -181,8 +181,10 @@ def land_sources(files: DataFrame, table_dir: str, commit: str | Column) -> None
     A second run replaces the commit. With ``commit`` as a text that holds for an empty tree
     too; a column names the commits to replace by its rows.
     """
-    if isinstance(commit, str) and _PLAIN_COMMIT.fullmatch(commit):
-        files.write.mode("overwrite").parquet(f"{table_dir}/commit={commit}")
+    if isinstance(commit, str) and commit:
+        files.write.mode("overwrite").parquet(
+            partition_path(files.sparkSession, table_dir, "commit", commit)
+        )
         return
     value = commit if isinstance(commit, Column) else F.lit(commit)
     (
@@ -194,8 +196,13 @@ def land_sources(files: DataFrame, table_dir: str, commit: str | Column) -> None
     )
 
 
-def read_landed(spark: SparkSession, table_dir: str) -> DataFrame:
-    return spark.read.schema(f"{SCHEMA}, commit string").parquet(table_dir)
+def read_landed(
+    spark: SparkSession, table_dir: str, commits: list[str] | None = None
+) -> DataFrame:
+    """Landed files of the named commits, whose folders alone are listed; of all without names."""
+    if commits is not None:
+        return read_partitions(spark, table_dir, LANDED_SCHEMA, "commit", commits)
+    return spark.read.schema(LANDED_SCHEMA).parquet(table_dir)
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Snapshot history as a table: rows partitioned by run, and a list of finished runs.
 
 The entry in ``runs`` is written after the rows of a run, so a run that broke off
-is never read as the latest one. Writing a run again replaces it.
+is never read as the latest one. Writing a run again replaces it, also by nothing: its entry
+goes first, then its rows, so while it is replaced it is no finished run. ``seq`` numbers the
+runs of a stream in the order in which they were done, ``batch`` names what they were done in.
 """
 
 from __future__ import annotations
@@ -11,14 +13,18 @@ import logging
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .partitions import drop_partitions, read_partitions
+
 ROW_SCHEMA = (
     "run_ts timestamp, commit string, kind string, file_path string, name string, ordinal int, "
     "signature string, sql_type string, classification string, hash string, run_id string"
 )
-RUN_SCHEMA = "run_ts timestamp, commit string, units long, run_id string"
+RUN_SCHEMA = (
+    "run_ts timestamp, commit string, units long, seq long, batch string, run_id string"
+)
 
 _UNREADABLE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")
 
@@ -45,39 +51,45 @@ def one_run(
 def write_snapshot(snap: DataFrame, table: str, runs: DataFrame) -> None:
     """Add one or many runs to the history.
 
-    ``runs`` (``run_id, run_ts, commit``) names the runs, since a run may have no
-    unit at all. ``snap`` is evaluated once; units are counted on what was written.
+    ``runs`` (``run_id, run_ts, commit`` and, of a stream, ``seq, batch``) names the runs,
+    since a run may have no unit at all; the driver holds their ids. ``snap`` is evaluated
+    once; units are counted on what was written, in the partitions of these runs alone.
     """
     spark = snap.sparkSession
+    ids = [r.run_id for r in runs.select("run_id").collect()]
+    drop_partitions(spark, f"{table}/runs", "run_id", ids)
+    drop_partitions(spark, f"{table}/rows", "run_id", ids)
     _overwrite(snap, f"{table}/rows")
-    counts = (
-        read_rows(spark, table)
-        .join(runs.select("run_id"), "run_id", "left_semi")
-        .groupBy("run_id")
-        .agg(F.count("*").alias("units"))
-    )
+    counts = read_rows(spark, table, ids).groupBy("run_id").agg(F.count("*").alias("units"))
+
+    def optional(name: str, kind: str) -> Column:
+        return F.col(name) if name in runs.columns else F.lit(None).cast(kind).alias(name)
+
     finished = runs.join(counts, "run_id", "left").select(
-        "run_id", "run_ts", "commit", F.coalesce("units", F.lit(0)).alias("units")
+        "run_id",
+        "run_ts",
+        "commit",
+        F.coalesce("units", F.lit(0)).alias("units"),
+        optional("seq", "long"),
+        optional("batch", "string"),
     )
     _overwrite(finished, f"{table}/runs")
 
 
-def read_rows(spark: SparkSession, table: str) -> DataFrame:
+def read_rows(spark: SparkSession, table: str, run_ids: list[str] | None = None) -> DataFrame:
+    """Rows of the named runs, whose folders alone are listed; of all runs without names."""
+    if run_ids is not None:
+        return read_partitions(spark, f"{table}/rows", ROW_SCHEMA, "run_id", run_ids)
     return spark.read.schema(ROW_SCHEMA).parquet(f"{table}/rows")
 
 
-def latest_run(
-    spark: SparkSession, table: str, before: datetime.datetime | None = None
-) -> str | None:
-    """Id of the newest finished run, or of the newest one before a point in time.
-
-    A missing or unreadable list of runs gives None and a warning.
-    """
+def _last(spark: SparkSession, table: str, wanted: Column | None, order: Column):
+    """``run_id, seq`` of the last wanted run; None if the list is missing or unreadable."""
     try:
         runs = spark.read.schema(RUN_SCHEMA).parquet(f"{table}/runs")
-        if before is not None:
-            runs = runs.filter(F.col("run_ts") < F.lit(before))
-        return runs.agg(F.max_by("run_id", F.struct("run_ts", "run_id"))).first()[0]
+        if wanted is not None:
+            runs = runs.filter(wanted)
+        return runs.agg(F.max_by(F.struct("run_id", "seq"), order)).first()[0]
     except (PySparkException, Py4JJavaError) as e:
         # any other failure, such as lost executors, must not pass for a first run
         reason = next((c for c in _UNREADABLE if c in str(e)), None)
@@ -87,11 +99,31 @@ def latest_run(
         return None
 
 
+def latest_run(
+    spark: SparkSession, table: str, before: datetime.datetime | None = None
+) -> str | None:
+    """Id of the newest finished run, or of the newest one before a point in time.
+
+    A missing or unreadable list of runs gives None and a warning.
+    """
+    wanted = None if before is None else F.col("run_ts") < F.lit(before)
+    found = _last(spark, table, wanted, F.struct("run_ts", "run_id"))
+    return found and found.run_id
+
+
+def last_done(spark: SparkSession, table: str, batch: str | None) -> tuple[str | None, int]:
+    """Id and number of the run that was done last, those of ``batch`` left out."""
+    wanted = None if batch is None else ~F.col("batch").eqNullSafe(batch)
+    order = F.struct(F.coalesce("seq", F.lit(0)), "run_ts", "run_id")
+    found = _last(spark, table, wanted, order)
+    return (found.run_id, found.seq or 0) if found else (None, 0)
+
+
 def latest_snapshot(
     spark: SparkSession, table: str, before: datetime.datetime | None = None
 ) -> DataFrame | None:
-    """Rows of the newest run, or None. The run id is a literal, so one partition is read."""
+    """Rows of the newest run, or None. Only the folder of that run is listed and read."""
     run_id = latest_run(spark, table, before)
     if run_id is None:
         return None
-    return read_rows(spark, table).filter(F.col("run_id") == run_id)
+    return read_rows(spark, table, [run_id])

@@ -5,21 +5,29 @@ from __future__ import annotations
 import datetime
 import hashlib
 from collections.abc import Callable
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.changes import KEY, changes, snapshot
 from ..operators.classify import classify
 from ..operators.units import extract_units
 from ..sources.files import read_landed
-from ..sources.snapshots import latest_run, read_rows, write_snapshot
+from ..sources.partitions import drop_partitions, has_files, partition_path, read_partitions
+from ..sources.snapshots import last_done, read_rows, write_snapshot
 
 EVENT_SCHEMA = (
     "event_id long, ts timestamp, event string, method string, url string, "
     "signature string, body string"
 )
+PENDING_SCHEMA = "at long, event_id long, commit string"
+#: Commits that one job takes, which is also what the driver holds of them.
+BLOCK = 500
 # Accepted paths, branches that start a run, and texts for missing fields.
 PATHS = ("/webhook", "/")
 MAIN_REFS = ("refs/heads/main", "refs/heads/master")
@@ -139,16 +147,27 @@ def handle_events(events: DataFrame, secret: str | None = None) -> DataFrame:
     )
 
 
-def _runs(events: DataFrame) -> DataFrame:
-    """One row per commit to run, with the commit that ran before it in this batch."""
-    runs = (
-        events.groupBy("commit")
-        .agg(F.max(F.struct("ts", "event_id")).alias("last"))
-        .select("commit", F.col("last.ts").alias("run_ts"), "last.event_id")
+def _waiting(spark: SparkSession, table: str) -> DataFrame:
+    """Commits asked for that had no landed files yet, one row each."""
+    folder = f"{table}/pending"
+    if not has_files(spark, folder):
+        return spark.createDataFrame([], PENDING_SCHEMA)
+    return spark.read.schema(PENDING_SCHEMA).parquet(folder)
+
+
+def _asked(batch: DataFrame, secret: str | None, table: str) -> DataFrame:
+    """One row per commit to run, of this batch or waiting: its last event, in time order."""
+    events = handle_events(batch, secret).filter(F.col("action") == "run")
+    events = events.select("commit", F.unix_micros("ts").alias("at"), "event_id")
+    waiting = _waiting(batch.sparkSession, table).withColumn("waited", F.lit(True))
+    return (
+        events.withColumn("waited", F.lit(False))
+        .unionByName(waiting)
+        .groupBy("commit")
+        .agg(F.max(F.struct("at", "event_id")).alias("last"), F.max("waited").alias("waited"))
+        .select("commit", "last.at", "last.event_id", "waited")
+        .orderBy("at", "event_id", "commit")
     )
-    # rows of one micro-batch only; the stream bounds how many files make one
-    order = Window.orderBy("run_ts", "event_id")
-    return runs.withColumn("previous", F.lag("commit").over(order))
 
 
 def run_batch_of_events(
@@ -158,72 +177,102 @@ def run_batch_of_events(
     secret: str | None = None,
     ambiguous: Callable[[str], str] | None = None,
     units_table: str | None = None,
+    batch_key: str | None = None,
 ) -> None:
     """Extract, label and snapshot the commits that a batch of events asks for.
 
-    All commits of the batch are one job over the landed files (listed anew for
-    each batch), read by commit. Every write replaces the run it belongs to, so a repeated batch changes nothing.
-    Events whose commit has no files start no run. An event without ``ts`` runs at the time
-    of its batch.
+    Runs count in the order in which they are done: the first of a batch is compared with the
+    last run done before the batch, each other one with the one before it; inside a batch they
+    go by time and id of their events. ``batch_key`` names the batch, so that a repeated one
+    finds the same run before it. Every write replaces the run it belongs to.
+
+    Commits are taken ``BLOCK`` at a time, each block one job over the folders of its commits
+    and of the runs they are compared with; nothing else of the landed table or of the
+    rows in the history is listed or read. A commit that has not landed waits in ``pending``
+    below ``table`` and is tried again with every batch, an empty one too. An event without
+    ``ts`` runs at the time of its batch.
     """
     spark = batch.sparkSession
     now = F.lit(datetime.datetime.now(datetime.timezone.utc)).cast("timestamp")
     batch = batch.withColumn("ts", F.coalesce("ts", now) if "ts" in batch.columns else now)
-    files = read_landed(spark, source_table)
-    asked = handle_events(batch, secret).filter(F.col("action") == "run")
-    # read by commit: only the partitions of the commits of this batch
-    present = (
-        files.select("commit").join(asked.select("commit").distinct(), "commit", "left_semi").distinct()
+    previous, seq = last_done(spark, table, batch_key)
+    served: list[str] = []
+    asked = _asked(batch, secret, table).toLocalIterator()
+    while block := list(islice(asked, BLOCK)):
+        landed, absent = [], []
+        for row in block:
+            folder = partition_path(spark, source_table, "commit", row.commit)
+            (landed if has_files(spark, folder) else absent).append(row)
+        if absent:
+            rows = {c: [row[c] for row in absent] for c in ("at", "event_id", "commit")}
+            _replace(_local(spark, rows, PENDING_SCHEMA), f"{table}/pending", "commit")
+        if landed:
+            ids = [row.commit for row in landed]
+            rows = {
+                "run_id": ids,
+                "at": [row.at for row in landed],
+                "seq": list(range(seq + 1, seq + 1 + len(ids))),
+                "previous": [previous, *ids[:-1]],
+                "batch": [batch_key] * len(ids),
+            }
+            _run_block(spark, rows, source_table, table, ambiguous, units_table)
+            previous, seq = ids[-1], seq + len(ids)
+            served += [row.commit for row in landed if row.waited]
+    drop_partitions(spark, f"{table}/pending", "commit", served)
+
+
+def _local(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table whose rows are part of the plan, so that its size is known to it."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table(columns, schema=fields))
+
+
+def _run_block(
+    spark: SparkSession,
+    rows: dict[str, list],
+    source_table: str,
+    table: str,
+    ambiguous: Callable[[str], str] | None,
+    units_table: str | None,
+) -> None:
+    ids, before = rows["run_id"], rows["previous"]
+    runs = _local(
+        spark, rows, "run_id string, at long, seq long, previous string, batch string"
+    ).withColumns({"run_ts": F.timestamp_micros("at"), "commit": F.col("run_id")})
+
+    wanted = read_landed(spark, source_table, ids).join(runs.select("commit", "run_ts"), "commit")
+    units = classify(extract_units(wanted), ambiguous)
+    if units_table is not None:
+        drop_partitions(spark, units_table, "commit", ids)
+        _replace(units, units_table, "commit")
+        units = read_partitions(spark, units_table, units.schema, "commit", ids)
+    write_snapshot(
+        snapshot(units, F.col("commit"), F.col("run_ts"), F.col("commit")), table, runs
     )
-    runs = _runs(asked.join(present, "commit")).cache()
-    try:
-        first = runs.agg(F.min("run_ts"), F.min_by("commit", F.struct("run_ts", "event_id"))).first()
-        if first[0] is None:
-            return
-        before = latest_run(spark, table, before=first[0])
-
-        wanted = files.join(runs.select("commit", "run_ts"), "commit")
-        units = classify(extract_units(wanted), ambiguous)
-        if units_table is not None:
-            units = _kept_units(units, units_table, runs)
-        write_snapshot(
-            snapshot(units, F.col("commit"), F.col("run_ts"), F.col("commit")),
-            table,
-            runs.select(F.col("commit").alias("run_id"), "run_ts", "commit"),
-        )
 
-        rows = read_rows(spark, table)
-        pairs = runs.select(
-            F.col("commit").alias("run_id"),
-            F.coalesce("previous", F.lit(before)).alias("previous"),
-        )
-        current = rows.join(pairs.filter(F.col("previous").isNotNull()), "run_id").drop("previous")
-        previous = rows.withColumnRenamed("run_id", "previous").join(pairs, "previous").drop("previous")
-        found = changes(previous, current, key=("run_id", *KEY))
-        if before is None:
-            found = found.unionByName(
-                changes(None, rows.filter(F.col("run_id") == first[1]), key=("run_id", *KEY))
-            )
-        (
-            found.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .parquet(f"{table}/changes")
-        )
-    finally:
-        runs.unpersist()
+    pairs = runs.filter(F.col("previous").isNotNull()).select("run_id", "previous")
+    current = read_rows(spark, table, ids).join(pairs, "run_id").drop("previous")
+    previous = (
+        read_rows(spark, table, [p for p in before if p is not None])
+        .withColumnRenamed("run_id", "previous")
+        .join(pairs, "previous")
+        .drop("previous")
+    )
+    key = ("run_id", *KEY)
+    found = changes(previous, current, key=key)
+    if before[0] is None:
+        found = found.unionByName(changes(None, read_rows(spark, table, ids[:1]), key=key))
+    drop_partitions(spark, f"{table}/changes", "run_id", ids)
+    _replace(found, f"{table}/changes", "run_id")
 
 
-def _kept_units(units: DataFrame, units_table: str, runs: DataFrame) -> DataFrame:
-    """Write the units of a batch by commit and read them back."""
+def _replace(df: DataFrame, folder: str, column: str) -> None:
     (
-        units.write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("commit")
-        .parquet(units_table)
+        .partitionBy(column)
+        .parquet(folder)
     )
-    written = units.sparkSession.read.schema(units.schema).parquet(units_table)
-    return written.join(runs.select("commit"), "commit", "left_semi")
 
 
 def run_stream(
@@ -243,8 +292,8 @@ def run_stream(
     commit too, so that reports can be written for any run.
     """
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: run_batch_of_events(
-            batch, source_table, table, secret, ambiguous, units_table
+        lambda batch, number: run_batch_of_events(
+            batch, source_table, table, secret, ambiguous, units_table, f"{checkpoint}#{number}"
         )
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -155,7 +155,7 @@ def test_history(spark, snap, tmp_path, caplog):
     assert N.latest_run(spark, table, before=TS) is None
     latest = N.latest_snapshot(spark, table)
     assert latest.count() == len(NEW)
-    assert "PartitionFilters: [isnotnull(run_id" in latest._jdf.queryExecution().toString()
+    assert latest.inputFiles() and all("/run_id=two/" in f for f in latest.inputFiles())
 
     # the same run again replaces itself and nothing else
     N.write_snapshot(snap(NEW[:2], "two", later), table, two)
@@ -170,6 +170,9 @@ def test_run_without_units_is_a_run(spark, snap, tmp_path):
     N.write_snapshot(snap([], "two", later), table, N.one_run(spark, "two", later))
     previous = N.latest_snapshot(spark, table)
     assert N.latest_run(spark, table) == "two" and previous.count() == 0
+    # an emptied run keeps none of its old rows
+    N.write_snapshot(snap([], "one", TS), table, N.one_run(spark, "one", TS))
+    assert N.read_rows(spark, table).count() == 0
 
 
 def test_unreadable_history_is_a_first_run(spark, snap, tmp_path, caplog):

@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusrules.sources.files import SCHEMA, land_sources, read_landed
 from corpusrules.sources.snapshots import read_rows
 from corpusrules.streaming import events as E
 
@@ -186,3 +187,77 @@ def test_events_without_time_run_at_the_time_of_the_batch(spark, tmp_path):
     E.run_batch_of_events(batch, str(tmp_path / "files"), str(tmp_path / "h"), SECRET)
     (found,) = read_rows(spark, str(tmp_path / "h")).collect()
     assert found.run_id == "c1" and found.run_ts is not None
+
+
+def land(spark, folder, trees):
+    rows = [(p, t, c) for c, tree in trees.items() for p, t in tree.items()]
+    files = spark.createDataFrame(rows, "file_path string, content string, commit string")
+    files.write.mode("append").partitionBy("commit").parquet(str(folder))
+
+
+def batch_of(spark, *events):
+    rows = []
+    for i, (day, commit) in enumerate(events):
+        body = json.dumps({"head_commit": {"id": commit, "message": "m"}})
+        ts = datetime.datetime(2024, 1, day)
+        rows.append((i, ts, "push", "POST", "/", sign(body), body))
+    return spark.createDataFrame(rows, E.EVENT_SCHEMA)
+
+
+def changed(spark, table):
+    return sorted((r.run_id, r.name, r.change) for r in spark.read.parquet(f"{table}/changes").collect())
+
+
+@pytest.mark.parametrize("size", [1, 500])
+def test_runs_are_compared_in_the_order_they_are_done(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(E, "BLOCK", size)
+    files, table = str(tmp_path / "files"), str(tmp_path / "h")
+    land(spark, files, {c: {"a.py": f"def {c}(): pass"} for c in ("c0", "c1", "c2", "c3")})
+    E.run_batch_of_events(batch_of(spark, (1, "c0"), (3, "c2")), files, table, SECRET, batch_key="s#0")
+    expected = [("c0", "c0", "added"), ("c2", "c0", "removed"), ("c2", "c2", "added")]
+    assert changed(spark, table) == expected
+    # c1 comes late: it follows what was done before it; a repeated batch changes nothing
+    expected += [
+        ("c1", "c1", "added"), ("c1", "c2", "removed"),
+        ("c3", "c1", "removed"), ("c3", "c3", "added"),
+    ]
+    for _ in range(2):
+        E.run_batch_of_events(batch_of(spark, (2, "c1"), (4, "c3")), files, table, SECRET, batch_key="s#1")
+        assert changed(spark, table) == sorted(expected)
+
+
+def test_commit_waits_until_it_lands(spark, tmp_path):
+    files, table = str(tmp_path / "files"), str(tmp_path / "h")
+    land(spark, files, {"c1": {"a.py": "def a(): pass"}})
+    E.run_batch_of_events(batch_of(spark, (1, "c1"), (2, "a/b c")), files, table, SECRET)
+    assert {r.run_id for r in read_rows(spark, table).collect()} == {"c1"}
+    land(spark, files, {"a/b c": {"a.py": "def b(): pass"}})
+    for _ in range(2):  # the second time nothing waits any more
+        E.run_batch_of_events(batch_of(spark, (3, "x")).limit(0), files, table, SECRET)
+        assert changed(spark, table) == [
+            ("a/b c", "a", "removed"), ("a/b c", "b", "added"), ("c1", "a", "added"),
+        ]
+
+
+def test_batch_opens_its_own_commits_only(spark, tmp_path):
+    files, table = tmp_path / "files", str(tmp_path / "h")
+    land(spark, files, {f"c{i}": {"a.py": f"def f{i}(): pass"} for i in range(50)})
+    for path in files.rglob("*.parquet"):
+        if path.parent.name not in ("commit=c7", "commit=c8"):
+            path.write_bytes(b"not to be read")
+            (path.parent / f".{path.name}.crc").unlink()
+    E.run_batch_of_events(batch_of(spark, (1, "c7"), (2, "c8")), str(files), table, SECRET)
+    assert {r.name for r in read_rows(spark, table).collect()} == {"f7", "f8"}
+    assert len(read_landed(spark, str(files), ["c7", "c8", "none"]).inputFiles()) == 2
+
+
+def test_emptied_commit_keeps_nothing(spark, tmp_path):
+    files, table = str(tmp_path / "files"), str(tmp_path / "h")
+    tree = spark.createDataFrame([("a.py", "def a(): pass", None)], SCHEMA)
+    land_sources(tree, files, "c1")
+    E.run_batch_of_events(batch_of(spark, (1, "c1")), files, table, SECRET, units_table=f"{table}/units")
+    assert read_rows(spark, table).count() == 1
+    land_sources(tree.limit(0), files, "c1")
+    E.run_batch_of_events(batch_of(spark, (2, "c1")), files, table, SECRET, units_table=f"{table}/units")
+    assert read_rows(spark, table).count() == 0
+    assert list((tmp_path / "h" / "units").rglob("*.parquet")) == []
