@@ -15,7 +15,7 @@ CHANGES = {
     "added": "➕ Added",
     "removed": "➖ Removed",
     "modified": "✏️ Modified",
-    "reclassified": "\U0001f504 Reclassified",
+    "reclassified": "🔄 Reclassified",
 }
 _ENTRY = ("ordinal", "signature", "sql_type", "classification", "hash")
 ENTRY_TYPE = (

@@ -296,8 +296,8 @@ def push_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def push_stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events land as files, a stream runs their commits, the history is counted.
 
-    The corpus of a commit is the orders of one order month, so commits grow with
-    the data in number of files, not in number of commits.
+    The corpus of a commit is the orders of one year and the year before, so commits grow
+    with the data in number of files, not in number of commits.
     """
     home = f"{shared_dir(spark)}/push-{uuid.uuid4().hex}"
     C.commit_events(spark, sf_dir).write.json(f"{home}/events")

@@ -397,7 +397,7 @@ _REPORT_HEAD = [
             ("added", "➕ Added"),
             ("removed", "➖ Removed"),
             ("modified", "✏️ Modified"),
-            ("reclassified", "\U0001f504 Reclassified"),
+            ("reclassified", "🔄 Reclassified"),
         )
     ],
     "''",

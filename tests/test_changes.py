@@ -128,7 +128,7 @@ def test_report(snap):
     lines = [r.line for r in report.orderBy(*H.REPORT_ORDER).collect()]
     assert "\n".join(lines) == (
         "# Documentation Changes Report\n\n**Generated:** now\n\n## Summary\n\n"
-        "- ➕ Added: 1\n- ➖ Removed: 1\n- ✏️ Modified: 3\n- \U0001f504 Reclassified: 2\n\n"
+        "- ➕ Added: 1\n- ➖ Removed: 1\n- ✏️ Modified: 3\n- 🔄 Reclassified: 2\n\n"
         "## Added Functions\n\n- `twin` in `a.py` (pipeline_code)\n\n"
         "## Removed Functions\n\n- `gone` from `a.py`\n\n"
         "## Modified Functions\n\n- `edited` in `a.py`\n- `both` in `a.py`\n\n"
