@@ -3,9 +3,10 @@
 Every node of a page has a density: characters per tag, lowered by the share of its
 characters that stand in links. The sums of the densities of a node's children
 tell where the text is; the node with the largest sum is the seed. The least density on
-the path from the body to the seed is the threshold: the seed grows to the ancestors
-that hold more text of at least that density. All text of that subtree is kept, short blocks
-too, but for parts whose role says that they are no article text.
+the path from the body to the seed is the threshold. On the way down to the seed a part beside
+the path stays if it is as dense as that and has a fair share of the seed's text; in the seed
+a dense part stays, a short one if it stands next to one that stays. Lists of links go, and so do
+parts whose role says that they are no article text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -53,6 +55,14 @@ _CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
+#: Tags of running text: such a part is short for itself and belongs to what it stands next to.
+_TEXT = frozenset(
+    "#run address blockquote dd dl dt figure h1 h2 h3 h4 h5 h6 li math ol p pre table ul".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A part beside the path to the seed has at least this share of the seed's sum; a dense part of
+#: the seed at least ``_PEAK`` of its densest part.
+_BESIDE, _PEAK = 0.1, 0.1
 _FORMATTING = frozenset("a b big code em font i s small strike strong tt u span".split())
 
 #: Roles without article text: by element, by ARIA role, by words of class and id.
@@ -76,7 +86,7 @@ DROP_NAMES = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link", "links", "sum", "density")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link", "links", "sum", "density", "block")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -180,8 +190,11 @@ def _in_article(node: Node) -> bool:
     return False
 
 
-def _weight(root: Node) -> None:
-    """Prune roles without text, then characters, tags and density sums, bottom up."""
+def _weight(root: Node) -> float:
+    """Prune roles without text, then characters, tags and density sums, bottom up.
+
+    Returns the share of the page's characters that stand in links.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -189,37 +202,134 @@ def _weight(root: Node) -> None:
         node.children = [c for c in node.children if isinstance(c, str) or not dropped(c)]
         stack += [c for c in node.children if not isinstance(c, str)]
     for node in reversed(order):
-        node.chars = node.tags = node.link = node.links = 0
-        for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(c.strip())
-            else:
-                node.chars += c.chars
-                node.tags += c.tags + 1
-                node.link += c.link
-                node.links += c.links
-        if node.tag == "a":
-            node.link, node.links = node.chars, node.links + 1
+        _count(node)
     share = root.link / root.chars if root.chars else 0.0
     for node in order:
-        plain = node.chars - node.link
-        if not node.chars:
-            node.density = 0.0
-            continue
-        ratio = node.chars / max(1, node.tags)
-        base = node.chars * node.link / max(1, plain) + share * node.chars + math.e
-        inner = (node.chars / max(1, node.link)) * (max(1, node.tags) / max(1, node.links))
-        node.density = max(0.0, ratio * math.log(max(1.0, inner)) / max(1.0, math.log(base)))
-        if not node.link:
-            node.density = ratio * math.log(max(math.e, node.chars * max(1, node.tags))) / max(1.0, math.log(base))
+        node.density = _density(node, share)
     for node in order:
         node.sum = sum(c.density for c in node.children if not isinstance(c, str))
+    return share
+
+
+def _count(node: Node) -> None:
+    node.chars = node.tags = node.link = node.links = 0
+    node.block = node.tag not in INLINE
+    for c in node.children:
+        if isinstance(c, str):
+            node.chars += len(c.strip())
+        else:
+            node.chars += c.chars
+            node.tags += c.tags + 1
+            node.link += c.link
+            node.links += c.links
+            node.block = node.block or c.block
+    if node.tag == "a":
+        node.link, node.links = node.chars, node.links + 1
+
+
+def _density(node: Node, share: float) -> float:
+    if not node.chars:
+        return 0.0
+    plain = node.chars - node.link
+    ratio = node.chars / max(1, node.tags)
+    base = node.chars * node.link / max(1, plain) + share * node.chars + math.e
+    if not node.link:
+        return ratio * math.log(max(math.e, node.chars * max(1, node.tags))) / max(1.0, math.log(base))
+    inner = (node.chars / max(1, node.link)) * (max(1, node.tags) / max(1, node.links))
+    return max(0.0, ratio * math.log(max(1.0, inner)) / max(1.0, math.log(base)))
+
+
+def _parts(node: Node, share: float) -> list[Node]:
+    """Blocks of a node and the runs of text between them, those without text left out."""
+    out, run = [], None
+    for c in node.children:
+        if not isinstance(c, str) and c.block:
+            out.append(c)
+            run = None
+            continue
+        if run is None:
+            run = Node("#run", "", node)
+            out.append(run)
+        run.children.append(c)
+    for part in out:
+        if part.tag == "#run":
+            _count(part)
+            part.sum = part.density = _density(part, share)
+    return [part for part in out if part.chars]
+
+
+def _link_list(part: Node) -> bool:
+    return part.links >= 3 and 2 * part.link >= part.chars
+
+
+def _spread(parts: list[Node], kept: list[bool], joins: Callable[[Node], bool]) -> None:
+    """Parts that ``joins`` accepts stay if an unbroken row of them leads to one that stays."""
+    for order in (range(len(parts)), range(len(parts) - 1, -1, -1)):
+        near = False
+        for i in order:
+            near = kept[i] = kept[i] or near and joins(parts[i])
+
+
+def _choice(parts: list[Node], dense: list[bool], marked: bool) -> list[bool]:
+    kept = list(dense)
+    _spread(parts, kept, lambda x: x.tag in _TEXT and 2 * x.link < x.chars)
+    if True in kept:
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        for i, part in enumerate(parts):
+            inside = first < i < last
+            kept[i] = kept[i] or not _link_list(part) and (marked or inside)
+    for i in range(len(parts) - 1, -1, -1):
+        if parts[i].tag in _HEADINGS:  # a heading goes the way of what stands under it
+            under = i + 1
+            while under < len(parts) and parts[under].tag not in _HEADINGS:
+                under += 1
+            below = kept[i + 1 : under]
+            if below:
+                kept[i] = any(below)
+    return kept if any(kept) else [True] * len(parts)
+
+
+def _prune(top: Node, seed: Node, threshold: float, share: float) -> None:
+    """Keep the parts of ``top`` that belong to the text, see the head of the module."""
+    path, up = {seed}, seed
+    while up is not top:
+        up = up.parent
+        path.add(up)
+    marked = top.tag in ("article", "main")
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.tag in _TEXT or not any(not isinstance(c, str) and c.block for c in node.children):
+            continue
+        parts = _parts(node, share)
+        if node not in path:
+            kept = [not _link_list(x) for x in parts]
+            kept = kept if any(kept) else [True] * len(parts)
+        elif node is seed:
+            bar = max(threshold, _PEAK * max((x.density for x in parts), default=0.0))
+            dense = [x.density >= bar and not _link_list(x) for x in parts]
+            kept = _choice(parts, dense, marked)
+        else:
+            bar = _BESIDE * seed.sum
+            dense = [
+                x in path
+                or x.density >= threshold and max(x.sum, x.density) >= bar and 2 * x.link < x.chars
+                for x in parts
+            ]
+            kept = _choice(parts, dense, marked)
+        node.children = []
+        for part, stays in zip(parts, kept, strict=True):
+            if not stays:
+                continue
+            node.children += part.children if part.tag == "#run" else [part]
+            if part.tag != "#run":
+                stack.append(part)
 
 
 def select(root: Node) -> Node | None:
-    """The subtree with the main text; None if the page has no text."""
-    _weight(root)
-    body, article, best = None, None, None
+    """The subtree with the main text, other parts taken out; None if the page has no text."""
+    share = _weight(root)
+    body, article, seed = None, None, None
     stack = [root]
     while stack:
         node = stack.pop()
@@ -239,21 +349,17 @@ def select(root: Node) -> Node | None:
     stack = [top]
     while stack:
         node = stack.pop()
-        if best is None or node.sum > best.sum:
-            best = node
+        if seed is None or node.sum > seed.sum:
+            seed = node
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-    if best is None:
-        return None
-    threshold, up = best.density, best
+    while not seed.block and seed is not top:
+        seed = seed.parent
+    threshold, up = seed.density, seed
     while up is not top:
         up = up.parent
         threshold = min(threshold, up.density)
-    chosen = up = best
-    while up is not top:
-        up = up.parent
-        if up.chars > chosen.chars and up.density >= threshold:
-            chosen = up
-    return chosen
+    _prune(top, seed, threshold, share)
+    return top
 
 
 def blocks(node: Node) -> list[str]:

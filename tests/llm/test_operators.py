@@ -194,6 +194,25 @@ def test_html(spark):
     assert html_text.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_html_density_without_article():
+    text = [f"Paragraph {i} " + "tells a longer story about the matter of this page. " * (3 + i) for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Topic number {i}</a></li>" for i in range(12)) + "</ul>"
+    teasers = "".join(f"<div class=k7><h3><a href=/t{i}>Teaser headline {i}</a></h3><p>Short {i}.</p></div>" for i in range(5))
+    foot = "<div class=k4>&copy; 2020 Foo Inc.</div>"
+    story = ["Story", "Short lead.", *(x.strip() for x in text), "Short end."]
+    inner = f"<p>Short lead.</p>{body}<p>Short end.</p>"
+    for page in (
+        f"<body><div class=k1>{links}</div><h1>Story</h1><div class=k2>{inner}</div><div class=k3>{teasers}</div>{foot}</body>",
+        f"<body><div class=k1>{links}</div><h1>Story</h1>{inner}{foot}</body>",
+    ):
+        assert html_text.main_text(page).split("\n") == story
+    parts = [f"<div><h2>Part {i}</h2>{body}</div>" for i in range(2)]
+    both = html_text.main_text(f"<body><div>{links}</div><div>{parts[0]}{parts[1]}</div></body>")
+    assert "Part 0" in both and "Part 1" in both and "Topic" not in both
+    assert html_text.main_text(f"<body>{links}</body>").startswith("Topic number 0")
+
+
 def test_licenses(spark):
     mit = [s for s, i in licenses.SENTENCES.items() if i in ("mit-grant", "mit-notice", "mit-warranty")]
     rows = [
