@@ -1,8 +1,10 @@
 """Licence scan by sentences: known sentences become identifiers, rules are sequences of them.
 
 Native columns. A text is cut into sentences twice, at line ends and regardless of them
-(wrapped lines); each sentence is normalised to lower-case words and digits, looked up among
-the known licence sentences, and the sequence of identifiers is matched with rules, in order.
+(wrapped lines, where blank lines and lines of a copyright or SPDX mark are borders all the same);
+each piece is normalised to lower-case words and digits, and up to ``PIECES`` pieces together are
+looked up among the known licence sentences, so a colon inside one does no harm. The sequence of
+identifiers is matched with rules, in order.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ SENTENCES = {
     "spdx license identifier apache 2 0": "apache-spdx",
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 3": "gpl3-ref",
+    "spdx license identifier gpl 3 0": "gpl3-spdx",
     "spdx license identifier gpl 3 0 only": "gpl3-spdx",
     "spdx license identifier gpl 3 0 or later": "gpl3-spdx",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
@@ -71,18 +74,43 @@ HINT = (
 )
 
 
+#: A known sentence is cut into so many pieces at most, by its colons and semicolons.
+PIECES = 3
+#: Lines without letters and digits, and lines that are a sentence for themselves (Java).
+_BLANK = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+_MARK = (
+    r"(?m)^([^\p{L}\p{N}\n]*(?:Copyright[ \t]+[A-Z0-9(©]|(?i:copyright[ \t:]*(?:\(c\)|©|\d{4}))"
+    r"|(?:\([cC]\)|©)[ \t]*\d{4}|(?i:spdx-[a-z]+:))[^\n]*)$"
+)
+#: What ends a sentence inside a line: its mark, an address between blanks, the end of a comment.
+_CUT = r"([.!?:;])[ \t]+|\x01|\*/|-->|[ \t]https?://[^\s]+(?=[ \t])"
+
+
+def _plain(sentence: Column) -> Column:
+    words = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    words = F.regexp_replace(words, "^(?:[0-9]{1,2}|[a-h]|i{1,3}) (?=redistribution)", "")
+    return F.regexp_replace(words, "^.{1,80} is free software$", "this program is free software")
+
+
 def _identifiers(sentences: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.transform(
-        sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    )
-    return F.filter(F.transform(plain, lambda s: F.get(F.array(known[s]), F.lit(0))), lambda x: x.isNotNull())
+    plain = F.filter(F.transform(sentences, _plain), lambda s: s != "")
+
+    def found(pieces, at):
+        some = [F.array_join(F.slice(pieces, at + 1, n), " ") for n in range(PIECES, 0, -1)]
+        return F.coalesce(*[F.get(F.array(known[s]), F.lit(0)) for s in some])
+
+    # one array of arrays, so that the pieces are made once and not for each of them
+    rows = F.transform(F.array(plain), lambda p: F.transform(p, lambda _, i: found(p, i)))
+    return F.filter(F.get(rows, F.lit(0)), lambda x: x.isNotNull())
 
 
 def _sentences(text: Column, by_line: bool) -> Column:
+    text = F.regexp_replace(text, "\r\n?", "\n")
     if not by_line:
-        text = F.regexp_replace(text, "[\\n\\r]+", " ")
-    return F.split(F.regexp_replace(text, "([.!?:;])[ \\t]+", "$1\n"), "\n", -1)
+        text = F.regexp_replace(F.regexp_replace(text, _BLANK, "\x01"), _MARK, "\x01$1\x01")
+        text = F.regexp_replace(text, "\n", " ")
+    return F.split(F.regexp_replace(text, _CUT, "$1\n"), "\n", -1)
 
 
 def _pattern(rule: tuple[str, ...]) -> str:

@@ -224,6 +224,92 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: ["MIT"], 4: [], 5: [], 6: [], 7: [], 8: ["CC-BY-NC-4.0"]}
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD_FILE = """Copyright (c) 2020, Foo
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE_HEADER = """Copyright 2020 Foo
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_licences_as_they_are_written(spark):
+    files = {"MIT": MIT_FILE, "BSD": BSD_FILE, "Apache-2.0": APACHE_HEADER, "GPL-3.0": GPL_HEADER}
+    forms = (
+        lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split()) if "Copyright (c)" not in t else t,
+        lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;",
+        lambda t: t.replace("Foo\n\n", "Foo\n").replace("License\n\nCopyright", "License\nCopyright"),
+    )
+    want, rows = [], []
+    for name, text in files.items():
+        for form in forms:
+            want.append([name])
+            rows.append((len(rows), form(text)))
+    for name, sign in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-3.0", "GPL-3.0-only"), ("BSD", "BSD-3-Clause"),
+    ):
+        for line in ("// SPDX-License-Identifier: {}\npackage main", "/* SPDX-License-Identifier: {} */ int x;", "SPDX-License-Identifier:{}"):
+            want.append([name])
+            rows.append((len(rows), line.format(sign)))
+    want += [["GPL-3.0"], ["GPL-3.0"], []]
+    rows += [(len(rows) + i, t) for i, t in enumerate((
+        GPL_HEADER.replace("This program is free", "Foo is free"), GPL_HEADER.replace("software:", "software;"),
+        "SPDX-License-Identifier: none; the MIT license is not meant",
+    ))]
+    out = licenses.scan(spark.createDataFrame(rows, "i long, text string")).collect()
+    got = [r.licenses for r in sorted(out, key=lambda r: r.i)]
+    assert [(i, w, g) for i, (w, g) in enumerate(zip(want, got, strict=True)) if w != g] == []
+    ids = {r.i: r.sentence_ids for r in out}
+    assert ids[18] == ["gpl3-grant", "gpl-warranty", "gpl-see"] and ids[0][:3] == ["mit-grant", "mit-notice", "mit-warranty"]
+
+
 def test_url_filter(spark):
     urls = [
         None, "no scheme", "http://A.example.net/en/1", "http://x.net", "https://x.example.com/de/1?q", "http://z.org/fr/",
