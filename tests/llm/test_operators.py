@@ -366,6 +366,33 @@ def test_pii(spark):
     assert pii.pseudonymise(days, PII_KEY).select("text").distinct().count() == 3000
 
 
+def test_pii_formats(spark):
+    phones = [
+        "+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "743.155.3824", "4155551234", "14155551234", "+14155551234",
+        "743 555 3824", "+44 20 7946 0958", "+442079460958", "+49 (0)30 1234567", "+1 (999) 999-9999", "+1 (000) 000-0000", "+1 (200) 199-0000",
+    ]
+    dates = ["12/31/1999", "31/12/1999", "05/06/2001", "31.12.1999", "12.31.1999", "13-02-2000", "1999/12/31", "29.02.2024", "2024.02.29"]
+    kept = ["1700000000", "12.31.1999.7", "13/13/1999", "100 200 3000", "30.02.2023", "ab4155551234cd"]
+    rows = [(i, f"x {v} y") for i, v in enumerate(phones + dates + kept)]
+    df = spark.createDataFrame(rows, "i int, text string")
+    out = pii.pseudonymise(df, "k").cache()
+    got = {r.i: r for r in out.collect()}
+    shape = lambda t: re.sub("[0-9]", "0", t)
+    for i, text in rows:
+        new, n = got[i].text, len(phones) + len(dates)
+        assert (new != text) == (i < n), (text, new)
+        assert shape(new) == shape(text), (text, new)
+        assert (got[i].n_phone, got[i].n_date) == ((1, 0) if i < len(phones) else (0, int(i < n))), (text, new)
+    assert got[8].text.startswith("x +44 ") and got[4].text[2:12] == got[5].text[3:13] == got[6].text[4:14]
+    assert [r.text for r in pii.pseudonymise(out.select("i", "text"), "k", back=True).orderBy("i").collect()] == [t for _, t in rows]
+    assert pii.pseudonymise(spark.createDataFrame([("on 1/5/1999",)], "text string"), "k").first().text != "on 1/5/1999"
+    late = spark.range(0, 146097, 7).selectExpr("date_add(date'2001-01-01', cast(id as int)) d").where("day(d) > 12")
+    late = late.selectExpr("date_format(d, 'dd/MM/yyyy') text").cache()
+    new = pii.pseudonymise(late, "k", counts=False)
+    assert new.distinct().count() == late.count() == new.where("to_date(text, 'dd/MM/yyyy') is not null and left(text, 2) > '12'").count()
+    assert pii.pseudonymise(new, "k", back=True, counts=False).exceptAll(late).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     table = docs
