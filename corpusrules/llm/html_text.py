@@ -37,7 +37,9 @@ VOID = frozenset(
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
-    "ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 #: An opening tag ends open elements of these names, up to the nearest of the second set.
 _PARAGRAPH_ENDS = frozenset(
@@ -57,7 +59,7 @@ _CLOSES = {
 }
 #: Tags of running text: such a part is short for itself and belongs to what it stands next to.
 _TEXT = frozenset(
-    "#run address blockquote dd dl dt figure h1 h2 h3 h4 h5 h6 li math ol p pre table ul".split()
+    "#run address blockquote dd dl dt figure h1 h2 h3 h4 h5 h6 li ol p pre table ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A part beside the path to the seed has at least this share of the seed's sum; a dense part of
@@ -65,32 +67,43 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BESIDE, _PEAK = 0.1, 0.1
 _FORMATTING = frozenset("a b big code em font i s small strike strong tt u span".split())
 
-#: Roles without article text: by element, by ARIA role, by words of class and id.
+#: Roles without article text: by element and by ARIA role.
 DROP = frozenset(
-    "script style noscript template head title nav aside footer form button input select "
-    "option textarea label fieldset iframe object embed canvas svg math audio video map dialog "
-    "menu link meta".split()
+    "script style noscript template head title nav aside footer button input select "
+    "option textarea label fieldset iframe object embed canvas svg audio video map dialog "
+    "menu link meta annotation annotation-xml".split()
 )
 DROP_ROLES = frozenset(
     "navigation banner complementary contentinfo search form dialog alertdialog alert menu "
     "menubar toolbar".split()
 )
-DROP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored "
-    "promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar aside "
-    "footer masthead topbar cookie cookies consent gdpr notice notices notification alert popup "
-    "modal overlay comment comments disqus respond replies reply newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations widget "
-    "pagination pager copyright legal disclaimer toolbar skip".split()
+#: Words of class and id, which only count together with the share of the page's text and the
+#: links: what others say or sell, parts of the layout, and words that articles use as well.
+_OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo "
+    "promotion promoted nav navbar breadcrumb breadcrumbs cookie cookies consent gdpr popup modal "
+    "comment comments disqus respond replies reply newsletter subscribe subscription signup login "
+    "pagination pager".split()
 )
+_LAYOUT = frozenset(
+    "navigation menu sidebar aside footer masthead topbar copyright toolbar skip".split()
+)
+_LOOSE = frozenset(
+    "banner notice notices notification alert overlay share sharing social related recommended "
+    "recommendations widget legal disclaimer".split()
+)
+DROP_NAMES = _OTHERS | _LAYOUT | _LOOSE
+#: A part with such a word goes if it has less than this share of the page's text.
+_OTHERS_SHARE, _LAYOUT_SHARE, _LOOSE_SHARE = 0.8, 0.4, 0.25
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link", "links", "sum", "density", "block")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link", "links", "sum", "density", "block", "words", "holds")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
+        self.words = None
 
 
 def parse(page: str) -> Node:
@@ -161,6 +174,8 @@ def _close(node: Node, name: str) -> Node:
 
 
 def dropped(node: Node) -> bool:
+    """Has an element, role or state that is never article text; sets ``node.words`` too."""
+    node.words = {"form"} if node.tag == "form" else None
     if node.tag in DROP:
         return True
     if not node.attrs.strip():
@@ -173,14 +188,38 @@ def dropped(node: Node) -> bool:
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "role" and value in DROP_ROLES:
-            return True
+            if value not in ("form", "search"):
+                return True
+            node.words = (node.words or set()) | {"form"}
         if key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id") and not DROP_NAMES.isdisjoint(_NAMES.findall(value)):
-            return True
+        if key in ("class", "id"):
+            words = DROP_NAMES.intersection(_NAMES.findall(value))
+            if words:
+                exact = {w for w in words if w in value.split()}
+                node.words = (node.words or set()) | words | ({"exact"} if exact else set())
     return node.tag == "header" and not _in_article(node)
 
 
+def _no_text(node: Node, total: int, density: float) -> bool:
+    """Do the words of a node, its links, density and share of the page's text speak against it?"""
+    words, part = node.words, node.chars / max(1, total)
+    if node.holds or not node.chars:
+        return False
+    linked = 3 * node.link >= node.chars
+    inside = _in_article(node)
+    if inside and node.tag in _HEADINGS:
+        return False
+    if words & _OTHERS and part < _OTHERS_SHARE or "form" in words and part < _LOOSE_SHARE:
+        return True
+    if inside:
+        return linked and part < _LAYOUT_SHARE
+    if words & _LAYOUT and part < _LAYOUT_SHARE:
+        return True
+    thin = "exact" in words and node.density < density
+    return bool(words & _LOOSE) and part < _LOOSE_SHARE and (linked or thin)
+
+
 def _in_article(node: Node) -> bool:
     up = node.parent
     while up is not None:
@@ -201,8 +240,24 @@ def _weight(root: Node) -> float:
         order.append(node)
         node.children = [c for c in node.children if isinstance(c, str) or not dropped(c)]
         stack += [c for c in node.children if not isinstance(c, str)]
+    share = _measure(order, root)
+    if not any(node.words for node in order):
+        return share
+    total, gone = root.chars, set()
+    for node in order:
+        if node.parent in gone or node.words and _no_text(node, total, root.density):
+            gone.add(node)
+    for node in order:
+        node.children = [c for c in node.children if c not in gone]
+    return _measure([node for node in order if node not in gone], root)
+
+
+def _measure(order: list[Node], root: Node) -> float:
     for node in reversed(order):
         _count(node)
+        node.holds = node.tag in ("article", "main") and node.chars > 0 or any(
+            c.holds for c in node.children if not isinstance(c, str)
+        )
     share = root.link / root.chars if root.chars else 0.0
     for node in order:
         node.density = _density(node, share)
@@ -272,7 +327,12 @@ def _spread(parts: list[Node], kept: list[bool], joins: Callable[[Node], bool])
 
 def _choice(parts: list[Node], dense: list[bool], marked: bool) -> list[bool]:
     kept = list(dense)
-    _spread(parts, kept, lambda x: x.tag in _TEXT and 2 * x.link < x.chars)
+    alike = {(x.tag, x.attrs) for x, stays in zip(parts, dense, strict=True) if stays}
+    _spread(
+        parts,
+        kept,
+        lambda x: (x.tag in _TEXT or (x.tag, x.attrs) in alike) and 2 * x.link < x.chars,
+    )
     if True in kept:
         first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
         for i, part in enumerate(parts):
@@ -326,27 +386,9 @@ def _prune(top: Node, seed: Node, threshold: float, share: float) -> None:
                 stack.append(part)
 
 
-def select(root: Node) -> Node | None:
-    """The subtree with the main text, other parts taken out; None if the page has no text."""
-    share = _weight(root)
-    body, article, seed = None, None, None
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.tag == "body" and body is None:
-            body = node
-        if node.tag in ("article", "main") and node.chars:
-            if article is None or node.chars > article.chars:
-                article = node
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-    top = body or root
-    if not top.chars:
-        top = root
-    if article is not None:
-        top = article
-    if not top.chars:
-        return None
-    stack = [top]
+def _seed(top: Node) -> tuple[Node, float]:
+    """The node of ``top`` with the largest sum, and the least density on the way to it."""
+    seed, stack = None, [top]
     while stack:
         node = stack.pop()
         if seed is None or node.sum > seed.sum:
@@ -358,8 +400,38 @@ def select(root: Node) -> Node | None:
     while up is not top:
         up = up.parent
         threshold = min(threshold, up.density)
-    _prune(top, seed, threshold, share)
-    return top
+    return seed, threshold
+
+
+def select(root: Node) -> list[Node]:
+    """The subtrees with the main text, other parts taken out; none if the page has no text.
+
+    Several articles: the one with the largest sum, and others that are half as dense as its
+    threshold and no links in the main.
+    """
+    share = _weight(root)
+    body, articles = None, []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "body" and body is None:
+            body = node
+        if node.tag in ("article", "main") and node.chars:
+            articles.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    top = body if body is not None and body.chars else root
+    if not top.chars:
+        return []
+    tops = [(x, *_seed(x)) for x in articles or [top]]
+    best, _, threshold = max(tops, key=lambda x: x[1].sum)
+    tops = [
+        x for x in tops
+        if x[0] is best or 2 * x[0].density >= threshold and 3 * x[0].link < x[0].chars
+    ]
+    for x in tops:
+        _prune(*x, share)
+    return [x[0] for x in tops]
 
 
 def blocks(node: Node) -> list[str]:
@@ -394,8 +466,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    node = select(parse(page))
-    return "\n".join(blocks(node)) if node is not None else ""
+    return "\n".join(text for node in select(parse(page)) for text in blocks(node))
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -213,6 +213,30 @@ def test_html_density_without_article():
     assert html_text.main_text(f"<body>{links}</body>").startswith("Topic number 0")
 
 
+def test_html_names_do_not_drop_articles():
+    text = [f"Paragraph {i} " + "tells a longer story about the matter of this page. " * (3 + i) for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    story = [x.strip() for x in text]
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Topic number {i}</a></li>" for i in range(12)) + "</ul>"
+    lines = lambda page: html_text.main_text(page).split("\n")
+    for page in (
+        f"<body><div class='content-sidebar-wrap'><main>{body}</main><div class=sidebar>{links}</div></div></body>",
+        f"<body><div class='page has-sidebar'>{body}</div><div class=sidebar>{links}</div></body>",
+        "<body>" + "".join(f"<div class='elementor-widget'><p>{x}</p></div>" for x in text) + "</body>",
+        f"<body><div class='post social'>{body}</div></body>",
+        f"<body><form action=x><div id=comments><p>Nice post!</p></div><div class=w>{body}</div></form></body>",
+    ):
+        assert lines(page) == story, page[:60]
+    parts = ["related-work", "legal", "notice"]
+    page = "<article>" + "".join(f"<h2 id={x}>On {x}</h2><section id={x}>{body}</section>" for x in parts) + "</article>"
+    assert lines(page) == [y for x in parts for y in (f"On {x}", *story)]
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
+    assert "so x=2 holds" in html_text.main_text(f"<article>{body}<p>so {formula} holds</p></article>")
+    both = lines(f"<article>{body}</article><article>{body}</article><article>{links}</article>")
+    assert both == story * 2
+    assert lines(f"<article>{links * 9}</article><article>{body}</article>") == story
+
+
 def test_licenses(spark):
     mit = [s for s, i in licenses.SENTENCES.items() if i in ("mit-grant", "mit-notice", "mit-warranty")]
     rows = [
