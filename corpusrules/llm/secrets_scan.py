@@ -1,15 +1,20 @@
 """Secret scan: fixed patterns, and novelty against dictionaries measured with zstandard.
 
-A string near a sensitive word (same line, up to ``REACH`` characters before it) is a
+A string in the same paragraph or statement as a sensitive word, before or behind it, is a
 candidate. Its novelty is the number of bytes by which it makes the compressed surroundings
 longer: the compressor is primed with a dictionary of identifiers and common words and
 has the text around the candidate before it. A name, a path or a repeated value costs
-little; a random key costs nearly its own entropy and is reported as ``novel``.
+little; a random key costs its own entropy and is reported as ``novel``: more than ``NOVEL_BITS``
+a character, or, if it is long, as much as random characters of its alphabet cost, if its
+characters are spread as those of a random string of that length are.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,10 +31,23 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-REACH = 64
 CONTEXT = 512
 #: Marginal compressed bits per character from which a string counts as incompressible.
 NOVEL_BITS = 6.5
+#: From this length on the fixed costs of a string no longer carry it over ``NOVEL_BITS``.
+_LONG = 32
+#: The share of the entropy of its alphabet that a random string costs at least, and the share of
+#: the entropy to be expected of its characters that they have at least.
+_COST, _SPREAD = 0.85, 0.94
+#: Alphabets, the narrower first; all other strings count as base64.
+_ALPHABETS = (
+    (16, re.compile(r"(?:[0-9A-F]+|[0-9a-f]+)=*")),
+    (32, re.compile(r"[A-Z2-7]+=*")),
+    (36, re.compile(r"(?:[0-9A-Z]+|[0-9a-z]+)")),
+    (62, re.compile(r"[0-9A-Za-z]+")),
+)
+#: Ends of a paragraph or a statement.
+_BORDER = re.compile(r"\n[ \t\r]*(?=\n)|;(?=[ \t\r]*\n)")
 
 _SENSITIVE = re.compile(
     r"passw|pwd|secret|token|api_?key|credential|auth|bearer|private|signature|session|"
@@ -108,24 +126,57 @@ def spans_of(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+@functools.lru_cache(maxsize=4096)
+def _expected(size: int, length: int) -> float:
+    """Mean entropy of the characters of a random string over an alphabet of ``size``."""
+    total, p = 0.0, 1 / size
+    for k in range(1, length):
+        log = math.lgamma(length + 1) - math.lgamma(k + 1) - math.lgamma(length - k + 1)
+        log += k * math.log(p) + (length - k) * math.log1p(-p)
+        total -= math.exp(log) * k / length * math.log2(k / length)
+    return size * total
+
+
+def _random(value: str, bits: float) -> bool:
+    """Does ``value`` cost what a random string of its alphabet and length costs?"""
+    if bits >= NOVEL_BITS:
+        return True
+    size = next((n for n, p in _ALPHABETS if p.fullmatch(value)), 64)
+    if len(value) < _LONG or bits < _COST * math.log2(size):
+        return False
+    n = len(value)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    return entropy >= _SPREAD * _expected(size, min(n, 2000))
+
+
+def _paragraphs(text: str):
+    at = 0
+    for border in _BORDER.finditer(text):
+        yield at, border.end()
+        at = border.end()
+    yield at, len(text)
+
+
 def _novel(text: str, base: list[tuple[int, int]], novelty: Novelty):
-    """Candidates are looked for behind sensitive words only, each string judged once."""
-    done = 0
-    for word in _SENSITIVE.finditer(text):
-        until = min(len(text), word.end() + REACH)
-        line = text.find("\n", word.end(), until)
-        until = line if line >= 0 else until
-        at = max(done, word.end())
-        while (m := _STRING.search(text, at)) and m.start() < until:
-            at = done = m.end()
+    """Candidates of every paragraph with a sensitive word; each string is judged once."""
+    first = 0
+    for start, end in _paragraphs(text):
+        if not _SENSITIVE.search(text, start, end):
+            continue
+        for m in _STRING.finditer(text, start, end):
             s, e = m.span()
-            if any(a < e and s < b for a, b in base):
+            while first < len(base) and base[first][1] <= s:
+                first += 1
+            at = first
+            while at < len(base) and base[at][0] <= s and base[at][1] < e:
+                at += 1
+            if at < len(base) and base[at][0] <= s:  # the base patterns have all of it
                 continue
             value = m[0]
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
             before = text[max(0, s - CONTEXT) : s]
-            if novelty.bits(value, before, text[e : e + CONTEXT]) >= NOVEL_BITS:
+            if _random(value, novelty.bits(value, before, text[e : e + CONTEXT])):
                 yield s, 3, e
 
 
