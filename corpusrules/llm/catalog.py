@@ -13,6 +13,7 @@ from . import (
     decontaminate,
     html_text,
     licenses,
+    packing,
     ngram_join,
     pii,
     quality,
@@ -24,6 +25,7 @@ from .oracles import ORACLES  # noqa: F401
 from .rows import spread
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 PII_KEY = "corpus-release-1"
 
 
@@ -89,6 +91,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.report(found).drop("text")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_texts(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_pseudonyms,
         op9_byte_bpe,
         op10_benchmark_decontamination,
+        op11_best_fit_packing,
         pipeline,
     )
 }
