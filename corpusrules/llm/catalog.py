@@ -20,6 +20,7 @@ from . import (
     secrets_scan,
     substring_dedup,
     url_filter,
+    whitening,
 )
 from .oracles import ORACLES  # noqa: F401
 from .rows import spread
@@ -95,6 +96,10 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_texts(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_benchmark_decontamination,
         op11_best_fit_packing,
+        op12_embedding_whitening,
         pipeline,
     )
 }
