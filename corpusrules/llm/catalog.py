@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    collocations,
     decontaminate,
     html_text,
     licenses,
@@ -100,6 +101,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_benchmark_decontamination,
         op11_best_fit_packing,
         op12_embedding_whitening,
+        op13_phrase_collocations,
         pipeline,
     )
 }

@@ -83,9 +83,42 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit,
 from w left join c using (doc_id) left join t using (doc_id)
 """
 
+OP13 = r"""
+with d as (select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0B\x0C\r]')) as piece from d),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as ws from p),
+w2 as (select * from w where len(ws) > 0),
+nn as (select lang, sum(len(ws))::bigint as n from w2 group by lang),
+o as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w2),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase
+  from o, (select unnest(range(1, 6)) as k) q where i + k - 1 <= len(ws)),
+f as (select lang, k, phrase, count(*)::bigint as f from g group by lang, k, phrase),
+c as (select lang, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= 100),
+cut as (select lang, phrase, a, ws, unnest(range(1, len(ws))) as j from c),
+s as (
+  select cut.lang, cut.phrase, cut.a, cut.j, fl.f as l, fr.f as r, nn.n,
+    ((1000::hugeint * cut.a * nn.n) // (fl.f::hugeint * fr.f))::bigint as score
+  from cut
+  join f fl on fl.lang = cut.lang and fl.phrase = array_to_string(cut.ws[1 : cut.j], ' ')
+  join f fr on fr.lang = cut.lang and fr.phrase = array_to_string(cut.ws[cut.j + 1 : len(cut.ws)], ' ')
+  join nn on nn.lang = cut.lang),
+b as (select lang, phrase, a, l, r, n, score from s
+  qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+sub as (
+  select lang, a as longer, array_to_string(ws[i : i + k - 1], ' ') as phrase
+  from (select lang, a, ws, unnest(range(2, len(ws))) as k from c where len(ws) >= 3) x,
+    lateral (select unnest(range(1, len(x.ws) - x.k + 2)) as i) y),
+cov as (select lang, phrase, max(longer) as longer from sub group by lang, phrase),
+kept as (select b.* from b left join cov using (lang, phrase) where cov.longer is null or cov.longer < b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase asc) as rank from kept)
+select lang, rank::bigint as rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op4_substring_dedup": OP4,
     "op7_quality_rules": OP7,
     "op10_benchmark_decontamination": OP10,
+    "op13_phrase_collocations": OP13,
 }
