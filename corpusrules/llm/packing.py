@@ -140,7 +140,7 @@ def pack(
                 for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
                     part = batch.slice(at, ENCODED_AT_ONCE)
                     texts = [t or "" for t in part.column(1).to_pylist()]
-                    encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+                    encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
                     for doc_id, enc in zip(part.column(0).to_pylist(), encoded, strict=True):
                         for piece, start, size, crc in pieces_of([*enc.ids, END_ID], length):
                             for seq, held in packer.put((doc_id, piece, start, size, crc), size):
