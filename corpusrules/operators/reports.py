@@ -314,3 +314,48 @@ def page_text(page_rows: DataFrame) -> DataFrame:
             F.expr("listagg(body, chr(10)) within group (order by chunk)"), F.lit(NL)
         ).alias("text")
     )
+
+
+def tree_lines(units: DataFrame, repo_url: str | None = None, generated: str = "") -> DataFrame:
+    """Every document of the docs tree as ``(path, a, b, c, line)``, sorted by ``(a, b, c)``.
+
+    Paths: ``<category>/<md_path>`` for pages, ``<category>/README.md`` for category indexes and
+    ``index.md`` for the overview, so the links these documents hold name files of the tree.
+    Two documents on one path keep the one that comes last in the order function page, SQL
+    page, category index, overview, then by ``file_path``: a file's SQL page replaces its
+    function page, as when the pages are written one after the other. The choice is made on
+    one row per document and task before a shuffle, not on the lines.
+    """
+    page_rows = pages(units, repo_url).select(
+        F.concat("category", F.lit("/"), "md_path").alias("path"),
+        F.when(F.col("kind") == "function", 0).otherwise(1).alias("doc"),
+        "file_path",
+        F.col("chunk").cast("long").alias("a"),
+        F.lit("").alias("b"),
+        F.lit(0).cast("long").alias("c"),
+        F.col("body").alias("line"),
+    )
+    readmes = category_index(units).select(
+        F.concat("category", F.lit("/README.md")).alias("path"),
+        F.lit(2).alias("doc"),
+        F.lit("").alias("file_path"),
+        F.col("part").cast("long").alias("a"),
+        F.coalesce("file_path", F.lit("")).alias("b"),
+        F.col("ordinal").cast("long").alias("c"),
+        "line",
+    )
+    index = overview_page(units, generated).select(
+        F.lit("index.md").alias("path"),
+        F.lit(3).alias("doc"),
+        F.lit("").alias("file_path"),
+        F.col("part").cast("long").alias("a"),
+        F.lit("").alias("b"),
+        F.col("ordinal").cast("long").alias("c"),
+        "line",
+    )
+    lines = page_rows.unionByName(readmes).unionByName(index)
+    winners = lines.groupBy("path").agg(F.max(F.struct("doc", "file_path")).alias("w"))
+    chosen = winners.select("path", F.col("w.doc").alias("doc"), F.col("w.file_path").alias("file_path"))
+    return lines.join(chosen, ["path", "doc", "file_path"], "left_semi").select(
+        "path", "a", "b", "c", "line"
+    )

@@ -16,6 +16,7 @@ from ..operators import sql_units as S
 from ..operators.units import as_units, extract_units
 from ..session import keep, shared_dir
 from ..sources import files as files_source
+from ..sources.docs_tree import write_tree
 from ..sources.snapshots import read_rows
 from ..streaming import events as E
 from . import corpora as C
@@ -285,6 +286,18 @@ def overview_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overview_page(index_units(spark, sf_dir), GENERATED)
 
 
+def written_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The docs tree written through the committing sink, read back: one row per file."""
+    folder = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
+    write_tree(R.tree_lines(labelled_units(spark, sf_dir), REPO_URL, GENERATED), folder)
+    back = files_source.read_tree(spark, folder, ".md")
+    return back.select(
+        F.col("file_path").alias("path"),
+        (F.size(F.split("content", "\n", -1)) - 1).cast("long").alias("n_lines"),
+        F.md5("content").alias("text_md5"),
+    )
+
+
 # --- events and files --------------------------------------------------------------------
 
 
@@ -361,6 +374,7 @@ QUERIES: dict[str, Query] = {
         overview,
         quick_links,
         overview_page,
+        written_docs,
         push_admission,
         push_stream_runs,
         scan_roundtrip,

@@ -576,5 +576,38 @@ from labelled group by rollup(classification)""",
 select kind, file_path, ordinal::integer as ordinal, name, start_line::integer as start_line,
   md5(source_code) as text_md5 from units""",
 }
+def _written_docs() -> str:
+    """Files of the docs tree: pages, category indexes and overview; one document per path."""
+    header = f"""'# '||{_BASE}||{NL}||{NL}||'**File:** `'||file_path||'`'||{NL}||{NL}||'---'"""
+    pages = f"""{_corpus()}, {_labelled("py_units", "*", "lab_py")}, {_labelled("sql_units", "*", "lab_sql")},
+  {_labelled("embedded_units", "*", "lab_emb")},
+sections as (
+  select 0 as doc, {_CATEGORY} as category, file_path, ordinal, {_FUNCTION_SECTION} as section from lab_py
+  union all select 1, {_CATEGORY}, file_path, ordinal, {_SQL_SECTION} from lab_sql
+  union all select 1, {_CATEGORY}, file_path, ordinal, {_SQL_SECTION}
+    from (select * replace ([tables] as tables) from lab_emb))
+select doc, category||'/'||{_MD} as path, file_path, (ordinal // 1000)::bigint as a,
+  string_agg(section, {NL} order by ordinal) as line from sections group by all
+union all select distinct doc, category||'/'||{_MD}, file_path, -1::bigint, {header} from sections"""
+    return f"""with pages as ({pages}),
+readme as ({ORACLES["category_index"]}),
+idx as ({ORACLES["overview_page"]}),
+docs as (
+  select path, doc, file_path, a, '' as b, 0::bigint as c, line from pages
+  union all select category||'/README.md', 2, '', part::bigint, coalesce(file_path, ''), ordinal::bigint, line
+    from readme
+  union all select 'index.md', 3, '', part::bigint, '', ordinal::bigint, line from idx),
+win as (
+  select path, doc, file_path from (select distinct path, doc, file_path from docs)
+  qualify row_number() over (partition by path order by doc desc, file_path desc) = 1),
+content as (
+  select path, string_agg(coalesce(line, '')||chr(10), '' order by a, b, c) as t
+  from docs semi join win using (path, doc, file_path) group by path)
+select path, (length(t) - length(replace(t, chr(10), '')))::bigint as n_lines, md5(t) as text_md5
+from content"""
+
+
+ORACLES["written_docs"] = _written_docs()
+
 ORACLES["first_run_changes"] = f"""select kind, file_path, name, 'added' as change, hash as curr_hash, position
 from ({ORACLES["snapshot_rows"]})"""

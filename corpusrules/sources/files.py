@@ -52,14 +52,14 @@ class _ListingReader(DataSourceReader):
 
     def __init__(self, root: str, suffixes: tuple[str, ...], skipped: dict[str, tuple[str, ...]]):
         self.root, self.suffixes, self.skipped = root, suffixes, skipped
-        self.never = set.intersection(*(set(skipped[s]) for s in suffixes))
+        self.never = set.intersection(*(set(skipped.get(s, ())) for s in suffixes))
 
     def _wanted(self, path: str) -> bool:
         *folders, name = path.split("/")
         suffix = next((s for s in self.suffixes if name.endswith(s)), None)
         if suffix is None or name.startswith("."):
             return False
-        return not any(f in self.skipped[suffix] for f in folders)
+        return not any(f in self.skipped.get(suffix, ()) for f in folders)
 
     def _open(self, filesystem, base: str, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
         """Sub-folders and wanted files of one folder, relative to the root.
@@ -127,6 +127,15 @@ def list_sources(spark: SparkSession, root: str, kind: str | None = None) -> Dat
     return spark.read.format("source_listing").option("suffixes", suffixes).load(root)
 
 
+def read_tree(spark: SparkSession, root: str, suffixes: str) -> DataFrame:
+    """``(file_path, content, error)`` of the files below ``root`` whose names end in one of
+    the comma-separated ``suffixes``; no folder is skipped for such suffixes."""
+    spark.dataSource.register(SourceListing)
+    listing = spark.read.format("source_listing").option("suffixes", suffixes).load(root)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_files(listing.repartition(tasks, "file_path"), root)
+
+
 def read_files(listing: DataFrame, root: str) -> DataFrame:
     """Text of every listed file; one that cannot be read has ``error`` and no content."""
 
