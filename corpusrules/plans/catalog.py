@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +18,7 @@ from ..operators.units import as_units, extract_units
 from ..session import keep, shared_dir
 from ..sources import files as files_source
 from ..sources.docs_tree import write_tree
-from ..sources.snapshots import read_rows
+from ..sources.snapshots import compact, new_write_id, one_run, read_rows, write_rows, write_snapshot
 from ..streaming import events as E
 from . import corpora as C
 
@@ -210,6 +211,31 @@ def _snapshot(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     return H.snapshot(units, f"run{version}", run_ts, f"c{version}")
 
 
+def batch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs kept, one of them written again, a third write broken off: what is in force.
+
+    Run 1 is the first version, run 2 the second; run 1 is written a second time with the
+    same rows; a write of the first version's rows under run 2 stops after its rows, before
+    its entry. The history is compacted, then read: per run and label, the count and a sum
+    of the hashes' first 28 bits.
+    """
+    home = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    for version in (1, 2, 1):
+        run = one_run(spark, f"run{version}", datetime.datetime(2024, 1, version), f"c{version}")
+        write_snapshot(_snapshot(spark, sf_dir, version), home, run)
+    broken = _snapshot(spark, sf_dir, 1).withColumn("run_id", F.lit("run2"))
+    write_rows(broken, home, new_write_id())
+    compact(spark, home)
+    return (
+        read_rows(spark, home)
+        .groupBy("run_id", "classification")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.conv(F.substring("hash", 1, 7), 16, 10).cast("long")).alias("hash_sum"),
+        )
+    )
+
+
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last unit per key of the first version; half of the files hold two units of one name."""
     units = K.classify(as_units(None, S.sql_blocks(C.sql_by_customer(spark, sf_dir))))
@@ -364,6 +390,7 @@ QUERIES: dict[str, Query] = {
         asked_labels,
         parsed_answers,
         snapshot_rows,
+        batch_history,
         changes,
         first_run_changes,
         change_counts,

@@ -608,6 +608,10 @@ from content"""
 
 
 ORACLES["written_docs"] = _written_docs()
+ORACLES["batch_history"] = f"""{_VERSIONS}
+select run_id, classification, count(*) as n, sum(('0x'||substr(hash, 1, 7))::bigint) as hash_sum
+from (select 'run1' as run_id, classification, hash from v1
+  union all select 'run2', classification, hash from v2) group by all"""
 
 ORACLES["first_run_changes"] = f"""select kind, file_path, name, 'added' as change, hash as curr_hash, position
 from ({ORACLES["snapshot_rows"]})"""
