@@ -11,14 +11,18 @@ Method: Toivonen's sampling algorithm for frequent phrases (contiguous word sequ
    frequent phrase outside the set it was given. Then every frequent phrase has been counted
    (its two parts are frequent, hence counted, hence proposed), so the result is exact.
 
-Each pass is a Spark job: phrases are exploded from word arrays, filtered by semi joins with
-the proposals (broadcast when the written proposal table has at most ``BROADCAST_ROWS`` rows,
-shuffled otherwise) and counted with map-side combining, so a very common phrase is one row
-per task before the shuffle. Scores are exact decimal integer arithmetic.
+Each pass is a Spark job. Words are counted natively. Phrases: while the written proposal
+table has at most ``BROADCAST_ROWS`` rows, every task reads it and walks its pieces level by
+level, so a phrase is formed only where both its parts are known; each task sums its counts
+before the shuffle, so a very common phrase is one row per task. Beyond that size phrases are
+exploded natively and filtered by semi joins with the proposals. Scores are exact decimal
+integer arithmetic.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,11 +93,100 @@ def words_counted(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _counted_given(pieces: DataFrame, proposed: DataFrame, longest: int) -> DataFrame:
-    """Exact counts of all words and of the phrases whose two parts are proposed."""
-    known = proposed.select("lang", F.col("g").alias("part"))
+#: Distinct phrases a task counts before it hands its partial counts on.
+HELD_COUNTS = 200_000
+_PIECE_ENDS = re.compile(PIECE_ENDS)
+_WORD_ENDS = re.compile(WORD_ENDS)
+_TO_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def _load_known(path: str) -> dict[str, set[str]]:
+    """Proposed phrases by lang, read by the task from the written table."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    filesystem, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    table = ds.dataset(base, filesystem=filesystem, format="parquet").to_table(columns=["lang", "g"])
+    known: dict[str, set[str]] = {}
+    for lang, g in zip(table.column("lang").to_pylist(), table.column("g").to_pylist(), strict=True):
+        known.setdefault(lang, set()).add(g)
+    return known
+
+
+def _piece_counts(docs: DataFrame, known_path: str | None, longest: int) -> DataFrame:
+    """(lang, k, g, f): partial counts per task of phrases of 2 to ``longest`` words.
+
+    With ``known_path`` a phrase is counted where its first and last ``k - 1`` words are
+    proposed phrases of the table there; without it every phrase is counted. Both parts are
+    known exactly where the shorter phrases at its first and second word were found known, so
+    a piece is walked level by level and most positions drop out after the words.
+    """
+    source = docs.select(
+        F.coalesce(col("lang").cast("string"), F.lit("und")).alias("lang"),
+        F.coalesce(col("text").cast("string"), F.lit("")).alias("text"),
+    )
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = _load_known(known_path) if known_path else None
+        held: dict[tuple[str, int, str], int] = {}
+
+        def flush():
+            keys = list(held)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": [k[0] for k in keys],
+                    "k": [k[1] for k in keys],
+                    "g": [k[2] for k in keys],
+                    "f": [held[k] for k in keys],
+                },
+                schema=pa.schema([("lang", pa.string()), ("k", pa.int32()), ("g", pa.string()), ("f", pa.int64())]),
+            )
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                wanted = None if known is None else known.get(lang, set())
+                for piece in _PIECE_ENDS.split(text.translate(_TO_LOWER)):
+                    ws = [w for w in _WORD_ENDS.split(piece) if w]
+                    size = len(ws)
+                    if size < 2:
+                        continue
+                    level = ws if wanted is None else [w if w in wanted else None for w in ws]
+                    for k in range(2, min(longest, size) + 1):
+                        nxt = []
+                        for i in range(size - k + 1):
+                            if level[i] is None or level[i + 1] is None:
+                                nxt.append(None)
+                                continue
+                            g = level[i] + " " + ws[i + k - 1]
+                            key = (lang, k, g)
+                            held[key] = held.get(key, 0) + 1
+                            nxt.append(g if wanted is None or g in wanted else None)
+                        if all(x is None for x in nxt):
+                            break
+                        level = nxt
+                if len(held) >= HELD_COUNTS:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    counted = source.mapInArrow(run, "lang string, k int, g string, f long")
+    return counted.groupBy("lang", "k", "g").agg(F.sum("f").alias("f"))
+
+
+def _counted_given(
+    docs: DataFrame, pieces: DataFrame, proposed: DataFrame, path: str, longest: int
+) -> DataFrame:
+    """Exact counts of all words and of the phrases whose two parts are proposed.
+
+    Up to ``BROADCAST_ROWS`` proposals every task reads them from the written table and walks
+    its pieces; beyond, phrases are joined with the proposals.
+    """
     if proposed.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+        return words_counted(pieces).unionByName(_piece_counts(docs, path, longest))
+    known = proposed.select("lang", F.col("g").alias("part"))
     grams = phrases(pieces, longest)
     grams = grams.join(known.withColumnRenamed("part", "pre"), ["lang", "pre"], "left_semi")
     grams = grams.join(known.withColumnRenamed("part", "suf"), ["lang", "suf"], "left_semi")
@@ -115,20 +208,21 @@ def frequent_phrases(
     pieces = word_pieces(docs)
     sample = word_pieces(docs.sample(fraction=sample_fraction, seed=SEED))
     lowered = max(1, int(sample_support * sample_fraction * min_count))
-    proposals = words_counted(sample).unionByName(
-        phrases(sample, longest).groupBy("lang", "k", "g").agg(F.count("*").alias("f"))
-    )
-    proposed = work.keep(proposals.where(F.col("f") >= lowered).select("lang", "k", "g"), "proposed0")
+    drawn = docs.sample(fraction=sample_fraction, seed=SEED)
+    proposals = words_counted(sample).unionByName(_piece_counts(drawn, None, longest))
+    name = "proposed0"
+    proposed = work.keep(proposals.where(F.col("f") >= lowered).select("lang", "k", "g"), name)
     passes = 0
     while True:
         passes += 1
-        counted = _counted_given(pieces, proposed, longest)
+        counted = _counted_given(docs, pieces, proposed, f"{work.home}/{name}", longest)
         found = work.keep(counted.where(F.col("f") >= min_count), f"frequent{passes}")
         failures = found.join(proposed, ["lang", "k", "g"], "left_anti")
         if failures.limit(1).count() == 0:
             return found, passes
         grown = proposed.unionByName(failures.select("lang", "k", "g"))
-        proposed = work.keep(grown, f"proposed{passes}")
+        name = f"proposed{passes}"
+        proposed = work.keep(grown, name)
 
 
 def collocations(

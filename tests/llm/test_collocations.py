@@ -80,3 +80,9 @@ def test_top_ties_and_empty(spark, docs):
     want = [r for r in brute([(r.lang, r.text) for r in docs.collect()], 20) if r[1] <= 3]
     assert sorted(map(tuple, got)) == want
     assert collocations.collocations(docs.where("score < 0")).collect() == []
+
+
+def test_joined_path_beyond_the_size_bound(spark, docs, monkeypatch):
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
+    got = collocations.collocations(docs, min_count=20, sample_fraction=0.3)
+    assert sorted(tuple(r) for r in got.collect()) == brute([(r.lang, r.text) for r in docs.collect()], 20)
