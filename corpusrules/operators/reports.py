@@ -324,7 +324,8 @@ def tree_lines(units: DataFrame, repo_url: str | None = None, generated: str = "
     Two documents on one path keep the one that comes last in the order function page, SQL
     page, category index, overview, then by ``file_path``: a file's SQL page replaces its
     function page, as when the pages are written one after the other. The choice is made on
-    one row per document and task before a shuffle, not on the lines.
+    one row per document and task before a shuffle, not on the lines; the overview has its
+    own path.
     """
     page_rows = pages(units, repo_url).select(
         F.concat("category", F.lit("/"), "md_path").alias("path"),
@@ -354,7 +355,21 @@ def tree_lines(units: DataFrame, repo_url: str | None = None, generated: str = "
         "line",
     )
     lines = page_rows.unionByName(readmes).unionByName(index)
-    winners = lines.groupBy("path").agg(F.max(F.struct("doc", "file_path")).alias("w"))
+    category = M.category(F.col("classification")).alias("category")
+    kinds = units.select(category, "kind", "file_path").distinct()
+    heads = kinds.select(
+        F.concat("category", F.lit("/"), M.md_path(F.col("file_path"))).alias("path"),
+        F.when(F.col("kind") == "function", 0).otherwise(1).alias("doc"),
+        "file_path",
+    ).unionByName(
+        kinds.select(
+            F.concat("category", F.lit("/README.md")).alias("path"), F.lit(2).alias("doc"),
+            F.lit("").alias("file_path"),
+        ).distinct()
+    ).unionByName(
+        units.sparkSession.createDataFrame([("index.md", 3, "")], "path string, doc int, file_path string")
+    )
+    winners = heads.groupBy("path").agg(F.max(F.struct("doc", "file_path")).alias("w"))
     chosen = winners.select("path", F.col("w.doc").alias("doc"), F.col("w.file_path").alias("file_path"))
     return lines.join(chosen, ["path", "doc", "file_path"], "left_semi").select(
         "path", "a", "b", "c", "line"

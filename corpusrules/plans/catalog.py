@@ -18,6 +18,7 @@ from ..operators.units import as_units, extract_units
 from ..session import keep, shared_dir
 from ..sources import files as files_source
 from ..sources.docs_tree import write_tree
+from ..sources.partitions import remove
 from ..sources.snapshots import compact, new_write_id, one_run, read_rows, write_rows, write_snapshot
 from ..streaming import events as E
 from . import corpora as C
@@ -314,9 +315,12 @@ def overview_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The docs tree written through the committing sink, read back: one row per file."""
-    folder = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
-    write_tree(R.tree_lines(labelled_units(spark, sf_dir), REPO_URL, GENERATED), folder)
-    back = files_source.read_tree(spark, folder, ".md")
+    home = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
+    labelled_units(spark, sf_dir).write.parquet(f"{home}/units")  # read by three documents
+    units = spark.read.parquet(f"{home}/units")
+    write_tree(R.tree_lines(units, REPO_URL, GENERATED), f"{home}/tree")
+    remove(spark, f"{home}/units")
+    back = files_source.read_tree(spark, f"{home}/tree", ".md")
     return back.select(
         F.col("file_path").alias("path"),
         (F.size(F.split("content", "\n", -1)) - 1).cast("long").alias("n_lines"),

@@ -51,3 +51,9 @@ def drop_partitions(spark: SparkSession, table: str, column: str, values: Iterab
     for value in values:
         filesystem, path = _open(spark, partition_path(spark, table, column, value))
         filesystem.delete(path, True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no later step reads."""
+    filesystem, path = _open(spark, folder)
+    filesystem.delete(path, True)
