@@ -329,6 +329,9 @@ def keep_first(documents: DataFrame, work: Workspace | None = None) -> DataFrame
     again = ids.where("n > 1").select("doc_id")
     single = first.join(again, "doc_id", "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    repeated = first.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order))
-    kept = single.unionByName(repeated.where("__n = 1").drop("__n"))
+    number = "__n"
+    while number in names:  # a name of the caller's is never replaced
+        number += "_"
+    repeated = first.join(again, "doc_id", "left_semi").withColumn(number, F.row_number().over(order))
+    kept = single.unionByName(repeated.where(F.col(number) == 1).drop(number))
     return kept.select(*[col(c) for c in names])

@@ -30,10 +30,12 @@ def add_columns(
     added = T.StructType.fromDDL(schema)
     kept = [f for f in df.schema.fields if f.name not in added.names]
     read = [col(inputs[0]).cast("string"), *map(col, inputs[1:])]
+    # positional names inside, so that no name of the caller (dots, clashes) is parsed
     source = df.select(
-        *[col(f.name) for f in kept], *[c.alias(f"__in{i}") for i, c in enumerate(read)]
+        *[col(f.name).alias(f"__kept{i}") for i, f in enumerate(kept)],
+        *[c.alias(f"__in{i}") for i, c in enumerate(read)],
     )
-    names = [*(f.name for f in kept), *added.names]
+    names = [*(f"__kept{i}" for i in range(len(kept))), *added.names]
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +52,9 @@ def add_columns(
                     names=names,
                 )
 
-    return source.mapInArrow(run, T.StructType([*kept, *added.fields]))
+    inner = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, [*kept, *added.fields])]
+    out = source.mapInArrow(run, T.StructType(inner))
+    return out.toDF(*[f.name for f in kept], *added.names)
 
 
 def batches_of(rows: Iterable[tuple], names: list[str], kinds: list, size: int = 20000):
