@@ -51,7 +51,8 @@ STAGES = [
     ("pii", pii_pseudonyms),
     ("byte bpe", byte_bpe),
 ]
-#: SQL expresses neither the pseudonyms nor the tokens; tests hold a brute-force form.
+#: SQL expresses neither the pseudonyms nor the tokens. Each stage calls an operator that tests/llm holds
+#: against DuckDB or brute force; run() itself is not compared with a brute-force form.
 ORACLE_SQL = None
 
 
