@@ -17,7 +17,7 @@ from ..operators import sql_units as S
 from ..operators.units import as_units, extract_units
 from ..session import keep, shared_dir
 from ..sources import files as files_source
-from ..sources.docs_tree import write_tree
+from ..sources.docs_tree import read_archives, write_tree
 from ..sources.partitions import remove
 from ..sources.snapshots import compact, new_write_id, one_run, read_rows, write_rows, write_snapshot
 from ..streaming import events as E
@@ -314,13 +314,17 @@ def overview_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The docs tree written through the committing sink, read back: one row per file."""
+    """The docs tree written through the committing sink, read back: one row per document.
+
+    There is about one page per row of ``orders``, of some 450 bytes, so the tree is kept in
+    archives: as files each page would take a block of the disk.
+    """
     home = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
     labelled_units(spark, sf_dir).write.parquet(f"{home}/units")  # read by three documents
     units = spark.read.parquet(f"{home}/units")
-    write_tree(R.tree_lines(units, REPO_URL, GENERATED), f"{home}/tree")
+    write_tree(R.tree_lines(units, REPO_URL, GENERATED), f"{home}/tree", archives=True)
     remove(spark, f"{home}/units")
-    back = files_source.read_tree(spark, f"{home}/tree", ".md")
+    back = read_archives(spark, f"{home}/tree")
     return back.select(
         F.col("file_path").alias("path"),
         (F.size(F.split("content", "\n", -1)) - 1).cast("long").alias("n_lines"),

@@ -13,19 +13,37 @@ Commit protocol:
 * ``abort`` and any failed attempt leave nothing: the job's staging folder is deleted.
 
 Files are written through ``pyarrow.fs``, so the tree may be on any file system it knows.
+
+A file takes a block (4 KB, mostly) and an entry of its file system, however short it is. A tree
+of millions of short pages is therefore written with ``archives=True``: each task streams its
+documents into zip archives, whose members have the documents' paths, so that unpacking all
+archives in one folder gives the tree. The commit is the same; ``read_archives`` reads them.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .files import SCHEMA as FILE_SCHEMA
+from .files import SourceListing
+
 SCHEMA = "path string, a long, b string, c long, line string"
 ORDER = ("path", "a", "b", "c")
+#: A task begins another archive after so many documents or bytes; the names of one are held.
+DOCUMENTS_PER_ARCHIVE = 10_000
+BYTES_PER_ARCHIVE = 64 * 1024 * 1024
+# bytes of text per record batch, and read ahead in an archive
+_BATCH_BYTES = 16 * 1024 * 1024
+_READ_AHEAD = 1024 * 1024
 
 
 def _fs(uri: str):
@@ -42,9 +60,53 @@ class Attempt(WriterCommitMessage):
     files: int
 
 
+class _Files:
+    """Documents as files below a folder."""
+
+    def __init__(self, fs, base: str, partition: int):
+        self.fs, self.base = fs, base
+
+    def open(self, path: str):
+        target = f"{self.base}/{path}"
+        self.fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        return self.fs.open_output_stream(target)
+
+    def close(self) -> None:
+        pass
+
+
+class _Archives:
+    """Documents as members of zip archives, written as streams one after the other."""
+
+    def __init__(self, fs, base: str, partition: int):
+        self.fs, self.base, self.partition = fs, base, partition
+        self.archives, self.stream, self.zip = 0, None, None
+
+    def open(self, path: str):
+        if self.zip is not None and (
+            len(self.zip.filelist) >= DOCUMENTS_PER_ARCHIVE or self.stream.tell() >= BYTES_PER_ARCHIVE
+        ):
+            self.close()
+        if self.zip is None:
+            self.fs.create_dir(self.base, recursive=True)
+            name = f"docs-{self.partition:05d}-{self.archives:05d}.zip"
+            self.stream = self.fs.open_output_stream(f"{self.base}/{name}")
+            self.zip = zipfile.ZipFile(self.stream, "w")
+            self.archives += 1
+        member = zipfile.ZipInfo(path)  # a fixed date, so a repeated task writes the same bytes
+        member.compress_type = zipfile.ZIP_DEFLATED
+        return self.zip.open(member, "w", force_zip64=True)
+
+    def close(self) -> None:
+        if self.zip is not None:
+            self.zip.close()
+            self.stream.close()
+            self.zip = None
+
+
 class DocsTreeWriter(DataSourceWriter):
-    def __init__(self, tree: str, job: str):
-        self.tree, self.job = tree.rstrip("/"), job
+    def __init__(self, tree: str, job: str, archives: bool = False):
+        self.tree, self.job, self.archives = tree.rstrip("/"), job, archives
 
     @property
     def staging(self) -> str:
@@ -56,6 +118,7 @@ class DocsTreeWriter(DataSourceWriter):
         task = TaskContext.get()
         folder = f"{self.staging}/attempt-{task.partitionId()}-{task.attemptNumber()}"
         fs, base = _fs(folder)
+        target = (_Archives if self.archives else _Files)(fs, base, task.partitionId())
         current, out, files = None, None, 0
         try:
             for row in rows:
@@ -63,14 +126,13 @@ class DocsTreeWriter(DataSourceWriter):
                     if out is not None:
                         out.close()
                     current = row.path
-                    target = f"{base}/{_safe(current)}"
-                    fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    out = fs.open_output_stream(target)
+                    out = target.open(_safe(current))
                     files += 1
                 out.write(((row.line or "") + "\n").encode("utf-8"))
         finally:
             if out is not None:
                 out.close()
+            target.close()
         return Attempt(folder, files)
 
     def commit(self, messages: list[Attempt]) -> None:
@@ -132,16 +194,20 @@ class DocsTree(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> DocsTreeWriter:
-        return DocsTreeWriter(self.options["path"], self.options.get("job", uuid.uuid4().hex))
+        archives = self.options.get("archives", "false") == "true"
+        return DocsTreeWriter(self.options["path"], self.options.get("job", uuid.uuid4().hex), archives)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(DocsTree)
 
 
-def write_tree(lines: DataFrame, folder: str, tasks: int | None = None) -> None:
+def write_tree(
+    lines: DataFrame, folder: str, tasks: int | None = None, archives: bool = False
+) -> None:
     """Write documents given as lines (``SCHEMA``) as a tree of files below ``folder``.
 
+    With ``archives`` the tree is kept in zip archives there, for trees of very many documents.
     The tree replaces what was there; a failed job leaves the old tree as it was.
     """
     spark = lines.sparkSession
@@ -153,8 +219,43 @@ def write_tree(lines: DataFrame, folder: str, tasks: int | None = None) -> None:
         .sortWithinPartitions(*ORDER)
         .write.format("docs_tree")
         .mode("overwrite")
+        .option("archives", str(archives).lower())
         .save(folder)
     )
 
 
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file_path, content, error)`` of the documents of a tree written with ``archives``.
+
+    An archive that cannot be read gives one row with its own path and ``error``.
+    """
+    spark.dataSource.register(SourceListing)
+    listing = spark.read.format("source_listing").option("suffixes", ".zip").load(folder)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _fs(folder)
+        schema = pa.schema([(c, pa.string()) for c in ("file_path", "content", "error")])
+        rows: list[dict] = []
+        size = 0
+        for path in (p for batch in batches for p in batch.column("file_path").to_pylist()):
+            try:
+                with fs.open_input_file(f"{base}/{path}") as f:
+                    archive = zipfile.ZipFile(io.BufferedReader(f, _READ_AHEAD))
+                    for name in archive.namelist():
+                        data = archive.read(name)
+                        content = data.decode("utf-8", "replace")
+                        rows.append({"file_path": name, "content": content, "error": None})
+                        size += len(data)
+                        if size > _BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+            except (OSError, pa.ArrowInvalid, zipfile.BadZipFile, zlib.error) as e:
+                rows.append({"file_path": path, "content": None, "error": str(e)})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return listing.repartition(tasks).select("file_path").mapInArrow(read, FILE_SCHEMA)
+
+
 SCHEMA_COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]

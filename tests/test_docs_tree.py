@@ -2,14 +2,17 @@
 
 import os
 import re
+import zipfile
 
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
 from corpusrules.operators import reports as R
 from corpusrules.operators.classify import classify
 from corpusrules.operators.units import extract_units
-from corpusrules.sources.docs_tree import write_tree
+from corpusrules.sources import docs_tree
+from corpusrules.sources.docs_tree import read_archives, write_tree
 
 SOURCES = {
     "app/rules.py": 'def price(x):\n    """Discount rule."""\n    # BUSINESS_RULE: cap at 10\n    return min(x, 10)\n\n'
@@ -95,3 +98,41 @@ def test_tree_lines_match_the_documents(spark, units):
     index = sorted((r.a, r.c, r.line) for r in lines if r.path == "index.md")
     want = sorted((r.part, r.ordinal, r.line) for r in R.overview_page(units, "g").collect())
     assert index == want
+
+
+def test_archives_hold_the_tree_in_few_files(spark, units, tmp_path):
+    lines = R.tree_lines(units, "https://repo", "2024-01-01")
+    write_tree(lines, str(tmp_path / "files"))
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "old.md").write_text("old")
+    write_tree(lines, str(folder), tasks=2, archives=True)
+    assert len(os.listdir(folder)) <= 2 and all(n.endswith(".zip") for n in os.listdir(folder))
+    got = read_archives(spark, str(folder)).collect()
+    assert {r.file_path: r.content for r in got} == tree(tmp_path / "files")
+    assert len(got) == len({r.file_path for r in got}) and all(r.error is None for r in got)
+    for name in os.listdir(folder):  # unpacked, the archives are the tree
+        zipfile.ZipFile(folder / name).extractall(tmp_path / "unpacked")
+    assert tree(tmp_path / "unpacked") == tree(tmp_path / "files")
+    (folder / "z.zip").write_bytes(b"broken")
+    assert [r.file_path for r in read_archives(spark, str(folder)).where("error is not null").collect()] == ["z.zip"]
+
+
+def test_archives_begin_anew(tmp_path, monkeypatch):
+    monkeypatch.setattr(docs_tree, "DOCUMENTS_PER_ARCHIVE", 2)
+    target = docs_tree._Archives(pafs.LocalFileSystem(), str(tmp_path / "a"), 3)
+    for i in range(5):
+        with target.open(f"p/{i}.md") as out:
+            out.write(b"x" * i)
+    target.close()
+    found = [zipfile.ZipFile(tmp_path / "a" / n).namelist() for n in sorted(os.listdir(tmp_path / "a"))]
+    assert found == [["p/0.md", "p/1.md"], ["p/2.md", "p/3.md"], ["p/4.md"]]
+
+
+def test_written_docs_keeps_short_documents_in_archives(spark, tmp_path, monkeypatch):
+    from corpusrules.plans import catalog
+
+    monkeypatch.setattr(catalog, "shared_dir", lambda spark: str(tmp_path))
+    n = catalog.written_docs(spark, "/root/testdata/sf0.001").count()
+    files = [name for folder, _, names in os.walk(tmp_path) for name in names if "/tree" in folder]
+    assert n > 100 * len(files) and files
