@@ -72,3 +72,20 @@ def test_missing_history(spark, tmp_path):
     table = str(tmp_path / "none")
     assert S.latest_snapshot(spark, table) is None
     assert S.read_rows(spark, table).count() == 0
+
+
+def test_batch_history_labels_each_version_once(spark, tmp_path, monkeypatch):
+    from corpusrules.plans import catalog
+
+    labelled, plain = [], catalog._snapshot
+
+    def snapshot(spark, sf_dir, version):
+        labelled.append(version)
+        return plain(spark, sf_dir, version)
+
+    monkeypatch.setattr(catalog, "_snapshot", snapshot)
+    monkeypatch.setattr(catalog, "shared_dir", lambda spark: str(tmp_path))
+    got = catalog.batch_history(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(labelled) == [1, 2]
+    assert {r.run_id for r in got} == {"run1", "run2"} and all(r.n > 0 for r in got)
+    assert [n.split("-")[0] for n in os.listdir(tmp_path)] == ["history"]  # the kept rows are gone
