@@ -16,15 +16,15 @@ Files are written through ``pyarrow.fs``, so the tree may be on any file system
 
 A file takes a block (4 KB, mostly) and an entry of its file system, however short it is. A tree
 of millions of short pages is therefore written with ``archives=True``: each task streams its
-documents into zip archives, whose members have the documents' paths, so that unpacking all
+documents into ``tar.gz`` archives, whose members have the documents' paths, so that unpacking all
 archives in one folder gives the tree. The commit is the same; ``read_archives`` reads them.
 """
 
 from __future__ import annotations
 
-import io
+import tarfile
+import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,12 +38,11 @@ from .files import SourceListing
 
 SCHEMA = "path string, a long, b string, c long, line string"
 ORDER = ("path", "a", "b", "c")
-#: A task begins another archive after so many documents or bytes; the names of one are held.
+#: A task begins another archive after so many documents or bytes; they are read back one archive a task.
 DOCUMENTS_PER_ARCHIVE = 10_000
 BYTES_PER_ARCHIVE = 64 * 1024 * 1024
-# bytes of text per record batch, and read ahead in an archive
+# bytes of text per record batch, and of a document held before its size is known
 _BATCH_BYTES = 16 * 1024 * 1024
-_READ_AHEAD = 1024 * 1024
 
 
 def _fs(uri: str):
@@ -76,32 +75,55 @@ class _Files:
 
 
 class _Archives:
-    """Documents as members of zip archives, written as streams one after the other."""
+    """Documents as members of compressed archives, written as streams one after the other."""
 
     def __init__(self, fs, base: str, partition: int):
         self.fs, self.base, self.partition = fs, base, partition
-        self.archives, self.stream, self.zip = 0, None, None
+        self.archives, self.documents, self.stream, self.tar = 0, 0, None, None
 
     def open(self, path: str):
-        if self.zip is not None and (
-            len(self.zip.filelist) >= DOCUMENTS_PER_ARCHIVE or self.stream.tell() >= BYTES_PER_ARCHIVE
+        return _Member(self, path)
+
+    def add(self, path: str, data, size: int) -> None:
+        if self.tar is not None and (
+            self.documents >= DOCUMENTS_PER_ARCHIVE or self.stream.tell() >= BYTES_PER_ARCHIVE
         ):
             self.close()
-        if self.zip is None:
+        if self.tar is None:
             self.fs.create_dir(self.base, recursive=True)
-            name = f"docs-{self.partition:05d}-{self.archives:05d}.zip"
-            self.stream = self.fs.open_output_stream(f"{self.base}/{name}")
-            self.zip = zipfile.ZipFile(self.stream, "w")
-            self.archives += 1
-        member = zipfile.ZipInfo(path)  # a fixed date, so a repeated task writes the same bytes
-        member.compress_type = zipfile.ZIP_DEFLATED
-        return self.zip.open(member, "w", force_zip64=True)
+            name = f"docs-{self.partition:05d}-{self.archives:05d}.tar.gz"
+            # tarfile compresses; pyarrow would do so again, going by the name
+            self.stream = self.fs.open_output_stream(f"{self.base}/{name}", compression=None)
+            self.tar = tarfile.open(fileobj=self.stream, mode="w|gz", compresslevel=6)
+            self.archives, self.documents = self.archives + 1, 0
+        member = tarfile.TarInfo(path)
+        member.size = size
+        self.tar.addfile(member, data)
+        self.tar.members.clear()  # only needed to read the archive back
+        self.documents += 1
 
     def close(self) -> None:
-        if self.zip is not None:
-            self.zip.close()
+        if self.tar is not None:
+            self.tar.close()
             self.stream.close()
-            self.zip = None
+            self.tar = None
+
+
+class _Member:
+    """One document, held (a long one in a temporary file) until its size is known."""
+
+    def __init__(self, archives: _Archives, path: str):
+        self.archives, self.path = archives, path
+        self.data = tempfile.SpooledTemporaryFile(max_size=_BATCH_BYTES)
+
+    def write(self, data: bytes) -> None:
+        self.data.write(data)
+
+    def close(self) -> None:
+        size = self.data.tell()
+        self.data.seek(0)
+        self.archives.add(self.path, self.data, size)
+        self.data.close()
 
 
 class DocsTreeWriter(DataSourceWriter):
@@ -207,7 +229,7 @@ def write_tree(
 ) -> None:
     """Write documents given as lines (``SCHEMA``) as a tree of files below ``folder``.
 
-    With ``archives`` the tree is kept in zip archives there, for trees of very many documents.
+    With ``archives`` the tree is kept in archives there, for trees of very many documents.
     The tree replaces what was there; a failed job leaves the old tree as it was.
     """
     spark = lines.sparkSession
@@ -230,7 +252,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     An archive that cannot be read gives one row with its own path and ``error``.
     """
     spark.dataSource.register(SourceListing)
-    listing = spark.read.format("source_listing").option("suffixes", ".zip").load(folder)
+    listing = spark.read.format("source_listing").option("suffixes", ".tar.gz").load(folder)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,17 +262,20 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         size = 0
         for path in (p for batch in batches for p in batch.column("file_path").to_pylist()):
             try:
-                with fs.open_input_file(f"{base}/{path}") as f:
-                    archive = zipfile.ZipFile(io.BufferedReader(f, _READ_AHEAD))
-                    for name in archive.namelist():
-                        data = archive.read(name)
+                with (
+                    fs.open_input_stream(f"{base}/{path}", compression=None) as f,
+                    tarfile.open(fileobj=f, mode="r|gz") as tar,
+                ):
+                    while (member := tar.next()) is not None:
+                        data = tar.extractfile(member).read()
+                        tar.members.clear()
                         content = data.decode("utf-8", "replace")
-                        rows.append({"file_path": name, "content": content, "error": None})
+                        rows.append({"file_path": member.name, "content": content, "error": None})
                         size += len(data)
                         if size > _BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, size = [], 0
-            except (OSError, pa.ArrowInvalid, zipfile.BadZipFile, zlib.error) as e:
+            except (OSError, EOFError, tarfile.TarError, zlib.error) as e:
                 rows.append({"file_path": path, "content": None, "error": str(e)})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)

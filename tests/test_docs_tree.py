@@ -2,7 +2,7 @@
 
 import os
 import re
-import zipfile
+import tarfile
 
 import pyarrow.fs as pafs
 import pytest
@@ -107,25 +107,26 @@ def test_archives_hold_the_tree_in_few_files(spark, units, tmp_path):
     folder.mkdir()
     (folder / "old.md").write_text("old")
     write_tree(lines, str(folder), tasks=2, archives=True)
-    assert len(os.listdir(folder)) <= 2 and all(n.endswith(".zip") for n in os.listdir(folder))
+    assert len(os.listdir(folder)) <= 2 and all(n.endswith(".tar.gz") for n in os.listdir(folder))
     got = read_archives(spark, str(folder)).collect()
     assert {r.file_path: r.content for r in got} == tree(tmp_path / "files")
     assert len(got) == len({r.file_path for r in got}) and all(r.error is None for r in got)
     for name in os.listdir(folder):  # unpacked, the archives are the tree
-        zipfile.ZipFile(folder / name).extractall(tmp_path / "unpacked")
+        tarfile.open(folder / name).extractall(tmp_path / "unpacked", filter="data")
     assert tree(tmp_path / "unpacked") == tree(tmp_path / "files")
-    (folder / "z.zip").write_bytes(b"broken")
-    assert [r.file_path for r in read_archives(spark, str(folder)).where("error is not null").collect()] == ["z.zip"]
+    (folder / "z.tar.gz").write_bytes(b"broken")
+    assert [r.file_path for r in read_archives(spark, str(folder)).where("error is not null").collect()] == ["z.tar.gz"]
 
 
 def test_archives_begin_anew(tmp_path, monkeypatch):
     monkeypatch.setattr(docs_tree, "DOCUMENTS_PER_ARCHIVE", 2)
     target = docs_tree._Archives(pafs.LocalFileSystem(), str(tmp_path / "a"), 3)
     for i in range(5):
-        with target.open(f"p/{i}.md") as out:
-            out.write(b"x" * i)
+        out = target.open(f"p/{i}.md")
+        out.write(b"x" * i)
+        out.close()
     target.close()
-    found = [zipfile.ZipFile(tmp_path / "a" / n).namelist() for n in sorted(os.listdir(tmp_path / "a"))]
+    found = [tarfile.open(tmp_path / "a" / n).getnames() for n in sorted(os.listdir(tmp_path / "a"))]
     assert found == [["p/0.md", "p/1.md"], ["p/2.md", "p/3.md"], ["p/4.md"]]
 
 
