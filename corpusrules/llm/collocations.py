@@ -1,28 +1,32 @@
 """Phrase collocations: frequent phrases of 2 to 5 words that hold together more than chance.
 
 Method: Toivonen's sampling algorithm for frequent phrases (contiguous word sequences).
-1. A sample of the documents (``sample_fraction``, by ``DataFrame.sample``) proposes the
+1. Words are counted exactly; the frequent ones are the vocabulary. The texts are written once
+   as runs of vocabulary numbers, since no frequent phrase holds another word.
+2. A sample of the documents (``sample_fraction``, by ``DataFrame.sample``) proposes the
    phrases whose sample count reaches the lowered support ``sample_support * fraction *
    min_count``. That set is closed downwards: a part of a phrase occurs at least as often.
-2. A full pass over all documents counts exactly every word and every phrase whose first and
-   last ``k - 1`` words are both proposed: the proposals and their negative border.
-3. A border phrase that turns out frequent is a failure of the sample: the frequent phrases
-   found are added to the proposals and the full pass is repeated, until a pass finds no
-   frequent phrase outside the set it was given. Then every frequent phrase has been counted
-   (its two parts are frequent, hence counted, hence proposed), so the result is exact.
-
-Each pass is a Spark job. Words are counted natively. Phrases: while the written proposal
-table has at most ``BROADCAST_ROWS`` rows, every task reads it and walks its pieces level by
-level, so a phrase is formed only where both its parts are known; each task sums its counts
-before the shuffle, so a very common phrase is one row per task. Beyond that size phrases are
-exploded natively and filtered by semi joins with the proposals. Scores are exact decimal
-integer arithmetic.
+3. A full pass over all documents counts exactly every phrase whose first and last ``k - 1``
+   words are both proposed (words: both frequent): the proposals and their negative border.
+4. A border phrase that turns out frequent is a failure of the sample: the frequent phrases
+   found join the proposals, and another full pass counts the phrases with such a part, until
+   a pass finds no failure. Then every frequent phrase has been counted (its two parts are
+   frequent, hence counted, hence proposed), so the result is exact.
+
+Each pass is a Spark job. While the vocabulary and the written proposals have at most
+``BROADCAST_ROWS`` rows each, every task reads them and counts a few million positions at a
+time, level by level, so a phrase is formed only where both its parts are known and a very
+common phrase is one row per block. Beyond that size phrases are exploded natively and
+filtered by semi joins with the proposals. Scores are exact decimal integer arithmetic.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +40,12 @@ TOP = 2000
 SAMPLE_FRACTION = 0.1
 SAMPLE_SUPPORT = 0.7
 SEED = 13
-#: Proposal tables up to this many rows are broadcast to the counting pass; larger are joined.
+#: Vocabularies and proposals up to this many rows are read by every task; larger are joined.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of text split at once, positions of written texts counted at once, rows sent at once.
+SPLIT_BYTES = 4 << 20
+POSITIONS = 1_000_000
+ROWS_OUT = 100_000
 
 # Fixed values of the contract: pieces end at these characters, words at blanks and tabs.
 PIECE_ENDS = r"[.,;:!?\n\x0B\x0C\r]"
@@ -85,113 +93,302 @@ def phrases(pieces: DataFrame, longest: int = LONGEST) -> DataFrame:
     return long_enough.select("lang", F.explode(grams).alias("o")).select("lang", "o.*")
 
 
-def words_counted(pieces: DataFrame) -> DataFrame:
-    """(lang, k, g, f) of every word."""
-    words = pieces.select("lang", F.explode("ws").alias("g"))
-    return words.groupBy("lang", "g").agg(F.count("*").alias("f")).select(
-        "lang", F.lit(1).alias("k"), "g", "f"
+_FOLDED = bytes.maketrans(
+    (UPPER + ".,;:!?\x0b\x0c\r\t").encode(), (LOWER + "\n" * 9 + " ").encode()
+)
+
+
+def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
+def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, ROWS_OUT):
+        yield batch.slice(start, ROWS_OUT)
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.coalesce(col("lang").cast("string"), F.lit("und")).alias("lang"),
+        F.coalesce(col("text").cast("string"), F.lit("")).alias("text"),
     )
 
 
-#: Distinct phrases a task counts before it hands its partial counts on.
-HELD_COUNTS = 200_000
-_PIECE_ENDS = re.compile(PIECE_ENDS)
-_WORD_ENDS = re.compile(WORD_ENDS)
-_TO_LOWER = str.maketrans(UPPER, LOWER)
+def _split(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """(lang, words, piece of each word, row of each piece) of the texts of one lang, in blocks of
+    about ``SPLIT_BYTES``; between neighbouring blanks stand empty words."""
+    for lang in pc.unique(batch.column(0)):
+        texts = batch.column(1).filter(pc.equal(batch.column(0), lang)).cast(pa.binary())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        start = 0
+        while start < len(texts):
+            stop = int(np.searchsorted(offsets, offsets[start] + SPLIT_BYTES, side="right")) - 1
+            stop = min(max(start + 1, stop), len(texts))
+            first, last = int(offsets[start]), int(offsets[stop])
+            # A-Z to a-z, piece ends to \n, tabs to blanks: byte for byte, so the offsets hold
+            folded = data.slice(first, last - first).to_pybytes().translate(_FOLDED) if last > first else b""
+            block = _binary(offsets[start : stop + 1] - first, folded)
+            pieces = pc.split_pattern(block, b"\n")
+            words = pc.split_pattern(pieces.flatten(), b" ")
+            per_row = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+            per_piece = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            piece = np.repeat(np.arange(len(per_piece)), per_piece)
+            yield lang.as_py(), words.flatten(), piece, np.repeat(np.arange(len(per_row)), per_row)
+            start = stop
+
+
+def words_counted(docs: DataFrame) -> DataFrame:
+    """(lang, g, f) of every word; each task sends one row per word and block of texts."""
+
+    def run(batches):
+        for batch in batches:
+            for lang, words, _, _ in _split(batch):
+                counts = pc.value_counts(words)
+                counts = counts.filter(pc.not_equal(counts.field(0), b""))
+                langs = pa.array([lang] * len(counts), pa.string())
+                columns = [langs, counts.field(0).cast(pa.string()), counts.field(1)]
+                yield from _sent(pa.RecordBatch.from_arrays(columns, names=["lang", "g", "f"]))
+
+    counted = _source(docs).mapInArrow(run, "lang string, g string, f long")
+    return counted.groupBy("lang", "g").agg(F.sum("f").alias("f"))
 
 
-def _load_known(path: str) -> dict[str, set[str]]:
-    """Proposed phrases by lang, read by the task from the written table."""
+def _read(path: str) -> pa.Table:
+    """A written table, read by the task."""
     import pyarrow.dataset as ds
     import pyarrow.fs as pafs
 
     filesystem, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    table = ds.dataset(base, filesystem=filesystem, format="parquet").to_table(columns=["lang", "g"])
-    known: dict[str, set[str]] = {}
-    for lang, g in zip(table.column("lang").to_pylist(), table.column("g").to_pylist(), strict=True):
-        known.setdefault(lang, set()).add(g)
-    return known
+    return ds.dataset(base, filesystem=filesystem, format="parquet").to_table()
 
 
-def _piece_counts(docs: DataFrame, known_path: str | None, longest: int) -> DataFrame:
-    """(lang, k, g, f): partial counts per task of phrases of 2 to ``longest`` words.
+class Vocabulary:
+    """The written frequent words, numbered from 1 in the order of (lang, word)."""
 
-    With ``known_path`` a phrase is counted where its first and last ``k - 1`` words are
-    proposed phrases of the table there; without it every phrase is counted. Both parts are
-    known exactly where the shorter phrases at its first and second word were found known, so
-    a piece is walked level by level and most positions drop out after the words.
-    """
-    source = docs.select(
-        F.coalesce(col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.coalesce(col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    def __init__(self, path: str):
+        table = _read(path).select(["lang", "g"]).sort_by([("lang", "ascending"), ("g", "ascending")])
+        self.langs = table.column("lang").combine_chunks()
+        self.words = table.column("g").combine_chunks().cast(pa.binary())
+        runs = pc.run_end_encode(self.langs)
+        stops = runs.run_ends.to_pylist()
+        self.range = dict(zip(runs.values.to_pylist(), zip([0, *stops], stops), strict=True))
 
-    def run(batches):
-        import pyarrow as pa
-
-        known = _load_known(known_path) if known_path else None
-        held: dict[tuple[str, int, str], int] = {}
-
-        def flush():
-            keys = list(held)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": [k[0] for k in keys],
-                    "k": [k[1] for k in keys],
-                    "g": [k[2] for k in keys],
-                    "f": [held[k] for k in keys],
-                },
-                schema=pa.schema([("lang", pa.string()), ("k", pa.int32()), ("g", pa.string()), ("f", pa.int64())]),
-            )
-            held.clear()
+    def numbers(self, lang: str, words: pa.Array) -> np.ndarray:
+        """The words' numbers, 0 for a word that is not frequent, -1 for an empty one."""
+        start, stop = self.range.get(lang, (0, 0))
+        at = pc.index_in(words, value_set=self.words.slice(start, stop - start))
+        found = pc.add(at, start + 1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+        found[pc.equal(words, b"").to_numpy(zero_copy_only=False)] = -1
+        return found
+
+
+def _numbered(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """(ids): per document the numbers (4 bytes each) of its runs of two frequent words and more,
+    each run behind a 0."""
 
+    def run(batches):
+        vocabulary = None
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wanted = None if known is None else known.get(lang, set())
-                for piece in _PIECE_ENDS.split(text.translate(_TO_LOWER)):
-                    ws = [w for w in _WORD_ENDS.split(piece) if w]
-                    size = len(ws)
-                    if size < 2:
-                        continue
-                    level = ws if wanted is None else [w if w in wanted else None for w in ws]
-                    for k in range(2, min(longest, size) + 1):
-                        nxt = []
-                        for i in range(size - k + 1):
-                            if level[i] is None or level[i + 1] is None:
-                                nxt.append(None)
-                                continue
-                            g = level[i] + " " + ws[i + k - 1]
-                            key = (lang, k, g)
-                            held[key] = held.get(key, 0) + 1
-                            nxt.append(g if wanted is None or g in wanted else None)
-                        if all(x is None for x in nxt):
-                            break
-                        level = nxt
-                if len(held) >= HELD_COUNTS:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    counted = source.mapInArrow(run, "lang string, k int, g string, f long")
-    return counted.groupBy("lang", "k", "g").agg(F.sum("f").alias("f"))
-
-
-def _counted_given(
-    docs: DataFrame, pieces: DataFrame, proposed: DataFrame, path: str, longest: int
+            vocabulary = vocabulary or Vocabulary(vocabulary_path)
+            for lang, words, piece, row in _split(batch):
+                ids = vocabulary.numbers(lang, words)
+                ids, piece = ids[ids >= 0], piece[ids >= 0]
+                joined = (ids[:-1] > 0) & (ids[1:] > 0) & (piece[:-1] == piece[1:])
+                behind, before = np.append(False, joined), np.append(joined, False)
+                kept = behind | before
+                first = ~behind[kept]
+                ids, owner = ids[kept], row[piece[kept]]
+                out = np.zeros(len(ids) + int(first.sum()), np.int32)
+                out[np.arange(len(ids)) + np.cumsum(first)] = ids
+                rows = int(row[-1]) + 1
+                sizes = np.bincount(owner, minlength=rows) + np.bincount(owner[first], minlength=rows)
+                offsets = np.append(0, np.cumsum(4 * sizes)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_binary(offsets, out.tobytes())], names=["ids"])
+
+    return _source(docs).mapInArrow(run, "ids binary")
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The numbers of a batch of ``_numbered`` in blocks of about ``POSITIONS``, cut between runs."""
+    ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32)
+    zeros = np.flatnonzero(ids == 0)
+    start = 0
+    while start < len(ids):
+        at = int(np.searchsorted(zeros, start + POSITIONS))
+        stop = int(zeros[at]) if at < len(zeros) else len(ids)
+        yield ids[start:stop].astype(np.int64)
+        start = stop
+
+
+class Proposals:
+    """The written proposals by length: sorted codes of (rank of the first ``k - 1`` words, last
+    word), their words, and whether they are new to this pass."""
+
+    def __init__(self, path: str, base: int, longest: int):
+        table = _read(path)
+        keys, fresh = table.column("g").to_pylist(), table.column("fresh").to_numpy()
+        lengths = np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+        self.base, self.codes, self.words, self.fresh = base, {}, {}, {}
+        for k in range(2, longest + 1):
+            at = np.flatnonzero(lengths == k)
+            words = np.frombuffer(b"".join(keys[i] for i in at), ">i4").reshape(-1, k).astype(np.int64)
+            ranks = words[:, 0]
+            for j in range(2, k):
+                ranks = self.ranks(j, ranks * base + words[:, j - 1])
+            codes = ranks * base + words[:, -1]
+            order = np.argsort(codes)
+            self.codes[k], self.words[k], self.fresh[k] = codes[order], words[order], fresh[at][order]
+
+    def ranks(self, k: int, codes: np.ndarray) -> np.ndarray:
+        """Ranks from 1 of phrases of ``k`` words, 0 where not proposed."""
+        known = self.codes[k]
+        if not len(known):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[at] == codes, at + 1, 0)
+
+
+def _block_counts(
+    ids: np.ndarray, base: int, longest: int, proposals: Proposals | None, again: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, counts) of the phrases of each length in one block: those whose two parts are
+    proposed (without ``proposals`` all), with ``again`` only where one of the parts is new."""
+    level, words, fresh = ids, None, None
+    for k in range(2, longest + 1):
+        formed = (level[:-1] > 0) & (level[1:] > 0)
+        if not formed.any():
+            return
+        codes = level[:-1][formed] * base + ids[k - 1 :][formed]
+        found, back, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        wanted = np.ones(len(found), bool)
+        if again:
+            wanted[:] = False
+            if k > 2:
+                new = fresh[level[:-1][formed] - 1] | fresh[level[1:][formed] - 1]
+                wanted[back[new]] = True
+        head, last = found // base, found % base
+        members = np.column_stack([head if k == 2 else words[head - 1], last])
+        if wanted.any():
+            yield members[wanted], counts[wanted]
+        if proposals is None:
+            ranks, words = np.arange(1, len(found) + 1), members
+        else:
+            ranks, words, fresh = proposals.ranks(k, found), proposals.words[k], proposals.fresh[k]
+        level = np.zeros(len(formed), np.int64)
+        level[formed] = ranks[back]
+
+
+def _phrase_counts(
+    numbered: DataFrame, base: int, longest: int, proposals_path: str | None = None, again: bool = False
 ) -> DataFrame:
-    """Exact counts of all words and of the phrases whose two parts are proposed.
+    """(g, f): exact counts over ``numbered`` of the phrases of ``_block_counts``; ``g`` holds the
+    numbers of the words, 4 bytes each."""
 
-    Up to ``BROADCAST_ROWS`` proposals every task reads them from the written table and walks
-    its pieces; beyond, phrases are joined with the proposals.
-    """
-    if proposed.count() <= BROADCAST_ROWS:
-        return words_counted(pieces).unionByName(_piece_counts(docs, path, longest))
-    known = proposed.select("lang", F.col("g").alias("part"))
-    grams = phrases(pieces, longest)
-    grams = grams.join(known.withColumnRenamed("part", "pre"), ["lang", "pre"], "left_semi")
-    grams = grams.join(known.withColumnRenamed("part", "suf"), ["lang", "suf"], "left_semi")
-    counted = grams.groupBy("lang", "k", "g").agg(F.count("*").alias("f"))
-    return words_counted(pieces).unionByName(counted)
+    def run(batches):
+        proposals = None
+        for batch in batches:
+            if proposals_path and proposals is None:
+                proposals = Proposals(proposals_path, base, longest)
+            for ids in _blocks(batch):
+                for words, counts in _block_counts(ids, base, longest, proposals, again):
+                    offsets = np.arange(0, 4 * words.size + 1, 4 * words.shape[1])
+                    g = _binary(offsets, words.astype(">i4").tobytes())
+                    f = pa.array(counts, pa.int64())
+                    yield from _sent(pa.RecordBatch.from_arrays([g, f], names=["g", "f"]))
+
+    return numbered.mapInArrow(run, "g binary, f long").groupBy("g").agg(F.sum("f").alias("f"))
+
+
+def _spelled(found: DataFrame, vocabulary_path: str) -> DataFrame:
+    """(lang, k, g, f): phrases of numbers as words."""
+
+    def run(batches):
+        vocabulary = None
+        for batch in batches:
+            vocabulary = vocabulary or Vocabulary(vocabulary_path)
+            lengths = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // 4
+            for k in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == k))
+                ids = np.frombuffer(b"".join(part.column(0).to_pylist()), ">i4").reshape(-1, k) - 1
+                ids = ids.astype(np.int64)
+                words = [vocabulary.words.take(pa.array(ids[:, j])).cast(pa.string()) for j in range(k)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        vocabulary.langs.take(pa.array(ids[:, 0])),
+                        pa.array(np.full(len(ids), k), pa.int32()),
+                        pc.binary_join_element_wise(*words, " "),
+                        part.column(1),
+                    ],
+                    names=["lang", "k", "g", "f"],
+                )
+
+    return found.mapInArrow(run, "lang string, k int, g string, f long")
+
+
+def _joined(
+    docs: DataFrame, vocabulary: DataFrame, min_count: int, longest: int, fraction: float, lowered: int, work: Workspace
+) -> tuple[DataFrame, int]:
+    """``frequent_phrases`` for sets no task should hold: phrases are joined with the proposals."""
+    grams = phrases(word_pieces(docs), longest)
+    drawn = phrases(word_pieces(docs.sample(fraction=fraction, seed=SEED)), longest)
+    proposals = drawn.groupBy("lang", "k", "g").agg(F.count("*").alias("f")).where(F.col("f") >= lowered)
+    words = vocabulary.select("lang", F.lit(1).alias("k"), "g", "f")
+    proposed = work.keep(words.unionByName(proposals).select("lang", "k", "g"), "joined0")
+    passes = 0
+    while True:
+        passes += 1
+        known = proposed.select("lang", F.col("g").alias("part"))
+        kept = grams.join(known.withColumnRenamed("part", "pre"), ["lang", "pre"], "left_semi")
+        kept = kept.join(known.withColumnRenamed("part", "suf"), ["lang", "suf"], "left_semi")
+        counted = kept.groupBy("lang", "k", "g").agg(F.count("*").alias("f")).where(F.col("f") >= min_count)
+        found = work.keep(words.unionByName(counted), f"counted{passes}")
+        failures = found.join(proposed, ["lang", "k", "g"], "left_anti")
+        if failures.limit(1).count() == 0:
+            return found, passes
+        proposed = work.keep(proposed.unionByName(failures.select("lang", "k", "g")), f"joined{passes}")
+
+
+def _mined(
+    docs: DataFrame, min_count: int, longest: int, fraction: float, support: float, work: Workspace
+) -> tuple[DataFrame, int, DataFrame]:
+    """The frequent phrases, the number of full passes over the phrases, and (lang, n)."""
+    counted = work.keep(words_counted(docs), "words")
+    totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
+    vocabulary = work.keep(counted.where(F.col("f") >= min_count), "vocabulary")
+    lowered = max(1, int(support * fraction * min_count))
+    size = vocabulary.count()
+    if size > BROADCAST_ROWS:
+        return *_joined(docs, vocabulary, min_count, longest, fraction, lowered, work), totals
+    base = size + 1
+    vocabulary_path = f"{work.home}/vocabulary"
+    numbered = work.keep(_numbered(docs, vocabulary_path), "numbered")
+    sample = _phrase_counts(numbered.sample(fraction=fraction, seed=SEED), base, longest)
+    proposals = sample.where(F.col("f") >= lowered).select("g", F.lit(False).alias("fresh"))
+    name = "proposed0"
+    proposed = work.keep(proposals, name)
+    passes, parts = 0, []
+    while True:
+        if proposed.count() > BROADCAST_ROWS:
+            return *_joined(docs, vocabulary, min_count, longest, fraction, lowered, work), totals
+        passes += 1
+        counts = _phrase_counts(numbered, base, longest, f"{work.home}/{name}", passes > 1)
+        found = work.keep(counts.where(F.col("f") >= min_count), f"frequent{passes}")
+        parts.append(found)
+        failures = found.where(F.length("g") < 4 * longest).join(proposed, "g", "left_anti")
+        grown = proposed.select("g", F.lit(False).alias("fresh")).unionByName(
+            failures.select("g", F.lit(True).alias("fresh"))
+        )
+        name = f"proposed{passes}"
+        proposed = work.keep(grown, name)
+        if proposed.where("fresh").limit(1).count() == 0:
+            break
+    every = parts[0]
+    for found in parts[1:]:
+        every = every.unionByName(found)
+    words = vocabulary.select("lang", F.lit(1).alias("k"), "g", "f")
+    return work.keep(words.unionByName(_spelled(every, vocabulary_path)), "frequent"), passes, totals
 
 
 def frequent_phrases(
@@ -205,28 +402,17 @@ def frequent_phrases(
     """(lang, k, g, f) of every phrase of 1 to ``longest`` words counted ``min_count`` times or
     more, exactly, and the number of full passes it took."""
     work = work or Workspace(docs.sparkSession, "collocations")
-    pieces = word_pieces(docs)
-    sample = word_pieces(docs.sample(fraction=sample_fraction, seed=SEED))
-    lowered = max(1, int(sample_support * sample_fraction * min_count))
-    drawn = docs.sample(fraction=sample_fraction, seed=SEED)
-    proposals = words_counted(sample).unionByName(_piece_counts(drawn, None, longest))
-    name = "proposed0"
-    proposed = work.keep(proposals.where(F.col("f") >= lowered).select("lang", "k", "g"), name)
-    passes = 0
-    while True:
-        passes += 1
-        counted = _counted_given(docs, pieces, proposed, f"{work.home}/{name}", longest)
-        found = work.keep(counted.where(F.col("f") >= min_count), f"frequent{passes}")
-        failures = found.join(proposed, ["lang", "k", "g"], "left_anti")
-        if failures.limit(1).count() == 0:
-            return found, passes
-        grown = proposed.unionByName(failures.select("lang", "k", "g"))
-        name = f"proposed{passes}"
-        proposed = work.keep(grown, name)
+    found, passes, _ = _mined(docs, min_count, longest, sample_fraction, sample_support, work)
+    return found, passes
 
 
 def collocations(
-    docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, longest: int = LONGEST, **mining
+    docs: DataFrame,
+    min_count: int = MIN_COUNT,
+    top: int = TOP,
+    longest: int = LONGEST,
+    sample_fraction: float = SAMPLE_FRACTION,
+    sample_support: float = SAMPLE_SUPPORT,
 ) -> DataFrame:
     """``OUT``: per lang the ``top`` phrases of 2 to ``longest`` words by score.
 
@@ -239,8 +425,7 @@ def collocations(
     without frequent phrases, or an empty table, gives no rows.
     """
     work = Workspace(docs.sparkSession, "collocations")
-    frequent, _ = frequent_phrases(docs, min_count, longest, work=work, **mining)
-    totals = word_pieces(docs).groupBy("lang").agg(F.sum(F.size("ws")).cast("long").alias("n"))
+    frequent, _, totals = _mined(docs, min_count, longest, sample_fraction, sample_support, work)
     candidates = frequent.where(F.col("k") >= 2).select(
         "lang", F.col("g").alias("phrase"), F.col("f").alias("a"), F.split("g", " ").alias("ws")
     )

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusrules.llm import collocations
@@ -86,3 +88,41 @@ def test_joined_path_beyond_the_size_bound(spark, docs, monkeypatch):
     monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
     got = collocations.collocations(docs, min_count=20, sample_fraction=0.3)
     assert sorted(tuple(r) for r in got.collect()) == brute([(r.lang, r.text) for r in docs.collect()], 20)
+
+
+def test_texts_are_read_twice_whatever_the_passes(spark, docs):
+    """Once to count the words, once to number them: a pass over the phrases reads the numbers."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = docs.select("lang", "text")
+    watched = rows.mapInArrow(counted, "lang string, text string")
+    _, passes = collocations.frequent_phrases(watched, min_count=20, sample_fraction=0.01)
+    assert passes >= 2
+    assert read.value == 2 * rows.count()
+
+
+def test_blocks_of_texts_and_numbers(monkeypatch):
+    monkeypatch.setattr(collocations, "SPLIT_BYTES", 8)
+    monkeypatch.setattr(collocations, "POSITIONS", 3)
+    texts = ["A b. C", "", "long text of many words", "\t x  y!", "é,\rÉ"]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en", "en", "de"], "text": texts}).slice(0)
+    got = {}
+    for lang, words, piece, row in collocations._split(batch):
+        held = [[] for _ in row]
+        for word, p in zip(words.to_pylist(), piece, strict=True):
+            held[p] += [word.decode()] if word else []
+        got.setdefault(lang, []).extend(x for x in held if x)
+    assert got == {
+        "en": [["a", "b"], ["c"], ["long", "text", "of", "many", "words"], ["x", "y"]],
+        "de": [["é"], ["É"]],
+    }
+    ids = [[0, 1, 2, 0, 3, 4], [], [0, 1, 1, 1, 1, 1, 0, 2, 2]]
+    rows = pa.RecordBatch.from_pydict({"ids": [np.array(i, np.int32).tobytes() for i in ids]})
+    blocks = [b.tolist() for b in collocations._blocks(rows)]
+    assert sum(blocks, []) == sum(ids, []) and len(blocks) > 2
+    assert all(b[0] == 0 for b in blocks)  # cut between runs only
