@@ -8,16 +8,20 @@ open, the fullest open sequence is closed first; a sequence with no free space c
 Closed sequences are emitted, so a task holds ``open_bins`` sequences of placements at most.
 
 Spark deals the documents over tasks; each task tokenises its rows and packs them, so the
-work is one narrow stage with no shuffle and memory bounded by ``open_bins`` and the batch.
+work is one narrow stage with no shuffle and memory bounded by ``open_bins``, the batch and
+``KNOWN_WORDS``. All ids come from the ``tokenizers`` library; where its rules cut every text at
+blanks, each word is given to it once and its ids are kept for the next occurrence.
 Sequence ids are ``task partition << 32 | number in the task``: unique and the same when a
 lost task is run again over the same rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ LENGTH = 2048
 OPEN_BINS = 64
 #: Texts given to the tokenizer at once, so that a batch of long texts is not held as ids.
 ENCODED_AT_ONCE = 256
+#: Words whose ids a worker keeps; beyond that it starts again.
+KNOWN_WORDS = 1_000_000
+#: New words given to the tokenizer at once.
+NEW_WORDS = 2000
 END_ID = 0
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, "
@@ -94,7 +102,107 @@ class BestFit:
         return seq, self.bins.pop(seq)[1]
 
 
-def pieces_of(ids: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+#: Rules that drop white space between matches without white space: no token of one word
+#: depends on the next word.
+_BLANK = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, _BLANK, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+_POINTS = ".,;:!?"
+
+
+def cuts_at_blanks(rules: dict) -> bool:
+    """Whether the tokenizer file with these rules gives a text the ids of its words in turn."""
+    plain = all(
+        not token["lstrip"] and not token["rstrip"] and not token["normalized"] and not token["single_word"]
+        and not any(c.isspace() or c in _POINTS for c in token["content"])
+        for token in rules["added_tokens"]
+    )
+    return plain and all(rules[name] == value for name, value in _WORDWISE.items())
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """Texts that together have the word's ids, so that fewer of them are new: points behind a
+    letter are a match of their own, and capitals count as small letters."""
+    if "<" in word:  # may hold an added token, which is matched as it is written
+        return (word,)
+    stem = word.rstrip(_POINTS)
+    if stem and (stem[-1] >= "\u0100" or not stem[-1].isalpha()):
+        stem = word
+    points = word[len(stem) :]
+    if stem.isascii():
+        stem = stem.lower()
+    return (stem, points) if stem and points else (stem or points,)
+
+
+class Encoder:
+    """The ids of texts, 4 bytes each, little-endian, by a ``tokenizers`` file."""
+
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
+        # Spark already runs one task per core: threads of the tokenizer would only compete.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.wordwise = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
+        self.known_words = known_words
+        self.known = {"": b""}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.wordwise:
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > self.known_words:
+            self.known = {"": b""}
+        self._learn(set().union(*words).difference(self.known))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, w)) for w in words]
+
+    def _learn(self, words: Iterable[str]) -> None:
+        known = self.known
+        parts = {word: _parts(word) for word in words}
+        new = list({p for of in parts.values() for p in of}.difference(known))
+        for at in range(0, len(new), NEW_WORDS):
+            some = new[at : at + NEW_WORDS]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            stops = np.cumsum([len(p) + 1 for p in some])  # places in the text, blanks included
+            starts = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded))
+            owner = np.searchsorted(stops, starts, side="right")
+            if len(owner) and (np.diff(owner) < 0).any():
+                raise ValueError("ids of one word stand behind those of the next")
+            ends = np.cumsum(4 * np.bincount(owner, minlength=len(some))).tolist()
+            data = np.asarray(encoded.ids, dtype="<u4").tobytes()
+            first = 0
+            for part, end in zip(some, ends, strict=True):
+                known[part] = data[first:end]
+                first = end
+        for word, of in parts.items():
+            known[word] = b"".join([known[p] for p in of])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, which keeps the words it has met."""
+    return Encoder(path)
+
+
+def pieces_of(ids: list[int] | np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids cut into pieces of ``length``."""
     data = np.asarray(ids, dtype="<u4")
     for number, start in enumerate(range(0, len(data), length)):
@@ -126,11 +234,8 @@ def pack(
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Spark already runs one task per core: threads of the tokenizer would only compete.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        encode = encoder(tokenizer_path)
+        end = np.asarray([END_ID], dtype="<u4").tobytes()
         task = TaskContext.get()
         first = (task.partitionId() if task else 0) << 32
         packer = BestFit(length, open_bins, first)
@@ -140,9 +245,8 @@ def pack(
                 for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
                     part = batch.slice(at, ENCODED_AT_ONCE)
                     texts = [t or "" for t in part.column(1).to_pylist()]
-                    encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                    for doc_id, enc in zip(part.column(0).to_pylist(), encoded, strict=True):
-                        for piece, start, size, crc in pieces_of([*enc.ids, END_ID], length):
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                        for piece, start, size, crc in pieces_of(np.frombuffer(ids + end, "<u4"), length):
                             for seq, held in packer.put((doc_id, piece, start, size, crc), size):
                                 yield from ((*p[:5], seq, p[5]) for p in held)
             for seq, held in packer.flush():

@@ -115,3 +115,42 @@ def test_against_offline_best_fit():
 
 def test_empty(spark, docs):
     assert packing.pack(docs.where("doc_id < 0"), PATH).collect() == []
+
+
+ODD = ["a", "B", "É", "é", "İ", "ß", "ς", "ΑΣ", "क़", "가", "가", "'s", "'LL", "1", "२", ".", ",", "?!", "..."]
+ODD += ["<|endoftext|>", "<|endoftext|>.", "<|ENDOFTEXT|>", "<", " ", "  ", "\n", "\t", " ", "　", "\r\n"]
+ODD += ["́", "̧", "-", "数", "😀", "‍", "\x00", "\x85", "ª", "ʰ", "÷", "don't", "$", "﻿"]
+
+
+def test_ids_of_words_are_those_of_the_whole_text():
+    rnd = random.Random(5)
+    encode = packing.Encoder(PATH, known_words=300)  # starts again many times
+    assert encode.wordwise
+    for _ in range(60):
+        texts = ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 25))) for _ in range(50)]
+        plain = encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert encode(texts) == [np.asarray(e.ids, dtype="<u4").tobytes() for e in plain]
+
+
+def test_a_word_is_given_to_the_tokenizer_once():
+    encode = packing.Encoder(PATH)
+    given = []
+
+    class Watched:
+        def encode(self, text, **options):
+            given.extend(text.split(" "))
+            return inner.encode(text, **options)
+
+    inner, encode.tokenizer = encode.tokenizer, Watched()
+    encode(["New york, new York. " * 50, "York new? new york\n" * 50])
+    encode(["new york new york"] * 50)
+    assert sorted(given) == [",", ".", "?", "new", "york"]
+
+
+def test_other_rules_are_given_whole_texts():
+    """Byte-level rules keep the blank before a word, so words in turn would have other ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.Encoder(path)
+    assert not encode.wordwise
+    plain = encode.tokenizer.encode_batch_fast(["one two  three", ""], add_special_tokens=False)
+    assert encode(["one two  three", ""]) == [np.asarray(e.ids, dtype="<u4").tobytes() for e in plain]
