@@ -43,8 +43,8 @@ SEED = 13
 #: Vocabularies and proposals up to this many rows are read by every task; larger are joined.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text split at once, positions of written texts counted at once, rows sent at once.
-SPLIT_BYTES = 4 << 20
-POSITIONS = 1_000_000
+SPLIT_BYTES = 2 << 20
+POSITIONS = 500_000
 ROWS_OUT = 100_000
 
 # Fixed values of the contract: pieces end at these characters, words at blanks and tabs.
