@@ -19,7 +19,6 @@ import gc
 import hashlib
 import sys
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .rows import add_columns
+from .rows import add_columns, worker_held
 
 MAX_STATES = 150_000
 LOOK = 4096
@@ -281,7 +280,7 @@ class Codec:
         return b"".join([*out, self.decoder.close()])
 
 
-@lru_cache(maxsize=2)
+@worker_held
 def codec(path: str, pattern: str) -> Codec:
     """One per Python worker and rank file; its tables hold no cycles to look for."""
     made = Codec(read_ranks(path), pattern)

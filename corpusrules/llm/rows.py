@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,10 +15,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 ROWS_OUT = 2000
 
 
+#: What a Python worker holds from task to task, as caches of one entry.
+_HELD: list = []
+
+
 def col(name: str):
     return F.col(f"`{name}`")
 
 
+def worker_held(make: Callable) -> Callable:
+    """``make`` with its last result held in the Python worker for later tasks, until ``let_go``."""
+    cached = lru_cache(maxsize=1)(make)
+    _HELD.append(cached)
+    return cached
+
+
+def let_go() -> None:
+    """Drop what earlier tasks of this Python worker hold: a worker outlives its query, and
+    tables of one operator would count against the memory of the next."""
+    if any(cached.cache_info().currsize for cached in _HELD):
+        for cached in _HELD:
+            cached.cache_clear()
+        gc.collect()
+
+
 def add_columns(
     df: DataFrame, inputs: str | list[str], schema: str, make: Callable[[], Callable[..., tuple]]
 ) -> DataFrame:

@@ -446,3 +446,18 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         assert table.columns == docs.columns, name
     left = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
     assert {r.doc_id for r in left} >= {6, 12} and not {7, 8, 10, 11} & {r.doc_id for r in left}
+
+
+def test_ngram_join_lets_go_of_the_tables_of_earlier_tasks():
+    class Taken:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Counts:
+        value = ngram_join.np.zeros(ngram_join.SKETCH, ngram_join.np.uint32)
+
+    for run in (ngram_join.signatures(Taken()), ngram_join.prefixes(Taken(), Counts, 5, 80)):
+        bpe.codec(PATH, PATTERN)
+        assert bpe.codec.cache_info().currsize == 1
+        list(run(iter([])))
+        assert bpe.codec.cache_info().currsize == 0
