@@ -10,7 +10,8 @@ Closed sequences are emitted, so a task holds ``open_bins`` sequences of placeme
 Spark deals the documents over tasks; each task tokenises its rows and packs them, so the
 work is one narrow stage with no shuffle and memory bounded by ``open_bins``, the batch and
 ``KNOWN_WORDS``. All ids come from the ``tokenizers`` library; where its rules cut every text at
-blanks, each word is given to it once and its ids are kept for the next occurrence.
+blanks, each word is given to it once and its ids are kept for the next occurrence; words of
+plain letters go straight to its model.
 Sequence ids are ``task partition << 32 | number in the task``: unique and the same when a
 lost task is run again over the same rows.
 """
@@ -19,9 +20,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .rows import batches_of, col
+from .rows import batches_of, col, worker_held
 
 LENGTH = 2048
 OPEN_BINS = 64
@@ -123,14 +124,17 @@ _WORDWISE = {
     "truncation": None,
     "padding": None,
 }
-_POINTS = ".,;:!?"
+#: Marks that end words, and letters whose small form and bytes Unicode rules leave no choice of.
+_POINTS = ".,;:!?*#%&$"
+_LETTERS = "a-zß-öø-ÿ"
+_SPLIT = re.compile(f"^([{_LETTERS}]+)([{re.escape(_POINTS)}]*)$|^.*$", re.MULTILINE)
 
 
 def cuts_at_blanks(rules: dict) -> bool:
     """Whether the tokenizer file with these rules gives a text the ids of its words in turn."""
     plain = all(
         not token["lstrip"] and not token["rstrip"] and not token["normalized"] and not token["single_word"]
-        and not any(c.isspace() or c in _POINTS for c in token["content"])
+        and "<" in token["content"] and not any(c.isspace() or c in _POINTS for c in token["content"])
         for token in rules["added_tokens"]
     )
     return plain and all(rules[name] == value for name, value in _WORDWISE.items())
@@ -150,16 +154,60 @@ def _parts(word: str) -> tuple[str, ...]:
     return (stem, points) if stem and points else (stem or points,)
 
 
+class LetterEncoder:
+    """The ids of words of ``_LETTERS`` alone, by the model of a word-wise tokenizer.
+
+    Its rules leave such a word as it is, one match; so the library gets the bytes of many words,
+    spelt as its model spells them, cut at blanks only. Where one word ends among the ids is told
+    by the bytes that each id stands for.
+    """
+
+    def __init__(self, rules: dict):
+        from tokenizers import Tokenizer
+
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.tokenizer = Tokenizer.from_str(json.dumps({**rules, **bare}))
+        suffix = rules["model"]["end_of_word_suffix"] or ""
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, number in vocab.items():
+            self.size[number] = len(token.removesuffix(suffix))
+        # the bytes of these letters in UTF-8, spelt as byte-level tokens are
+        spelt = [0xC3, *range(0x80, 0xC0)]
+        plain = {*range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [b for b in range(0x100) if b not in plain and not 0x21 <= b <= 0x7E]
+        self.spelling = {b: chr(b if b in plain else 0x100 + others.index(b)) for b in spelt}
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        text = " ".join(words)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.spelling)
+        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.asarray(encoded.ids, dtype="<u4")
+        sizes = np.fromiter(map(len, text.split(" ")), np.int64, len(words))
+        ends, stops = np.cumsum(self.size[ids]), np.cumsum(sizes)
+        at = np.searchsorted(ends, stops)
+        if len(ids) == 0 or ends[-1] != stops[-1] or (ends[at] != stops).any():
+            raise ValueError("the ids do not stand for the words' bytes")
+        data, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
 class Encoder:
-    """The ids of texts, 4 bytes each, little-endian, by a ``tokenizers`` file."""
+    """The ids of texts, 4 bytes each, little-endian, by a ``tokenizers`` file.
+
+    With ``letters``, words of plain letters go straight to the tokenizer's model.
+    """
 
-    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS, letters: bool = False):
         # Spark already runs one task per core: threads of the tokenizer would only compete.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wordwise = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
+        rules = json.loads(self.tokenizer.to_str())
+        self.wordwise = cuts_at_blanks(rules)
+        self.letters = LetterEncoder(rules) if self.wordwise and letters else None
         self.known_words = known_words
         self.known = {"": b""}
 
@@ -167,17 +215,34 @@ class Encoder:
         if not self.wordwise:
             encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
-        words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.known_words:
             self.known = {"": b""}
-        self._learn(set().union(*words).difference(self.known))
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(list(set().union(*words).difference(self.known)))
         ids = self.known.__getitem__
         return [b"".join(map(ids, w)) for w in words]
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
         known = self.known
-        parts = {word: _parts(word) for word in words}
-        new = list({p for of in parts.values() for p in of}.difference(known))
+        split = _SPLIT.findall("\n".join(words).lower())
+        stems = list({stem for stem, _ in split if stem and stem not in known})
+        for at in range(0, len(stems), NEW_WORDS) if self.letters else ():
+            some = stems[at : at + NEW_WORDS]
+            known.update(zip(some, self.letters(some), strict=True))
+        others = {p for _, p in split}.union(() if self.letters else stems)
+        parts = {w: _parts(w) for w, (stem, _) in zip(words, split, strict=True) if not stem}
+        self._learn_any(others.union(*parts.values()).difference(known))
+        for word, (stem, point) in zip(words, split, strict=True):
+            if not stem:
+                known[word] = b"".join([known[p] for p in parts[word]])
+            else:
+                known[word] = known[stem] + known[point] if point else known[stem]
+
+    def _learn_any(self, words: Iterable[str]) -> None:
+        """By the tokenizer with all its rules."""
+        new = list(words)
         for at in range(0, len(new), NEW_WORDS):
             some = new[at : at + NEW_WORDS]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -190,16 +255,14 @@ class Encoder:
             data = np.asarray(encoded.ids, dtype="<u4").tobytes()
             first = 0
             for part, end in zip(some, ends, strict=True):
-                known[part] = data[first:end]
+                self.known[part] = data[first:end]
                 first = end
-        for word, of in parts.items():
-            known[word] = b"".join([known[p] for p in of])
 
 
-@lru_cache(maxsize=1)
+@worker_held
 def encoder(path: str) -> Encoder:
     """One for all tasks of a Python worker, which keeps the words it has met."""
-    return Encoder(path)
+    return Encoder(path, letters=True)
 
 
 def pieces_of(ids: list[int] | np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:

@@ -154,3 +154,22 @@ def test_other_rules_are_given_whole_texts():
     assert not encode.wordwise
     plain = encode.tokenizer.encode_batch_fast(["one two  three", ""], add_special_tokens=False)
     assert encode(["one two  three", ""]) == [np.asarray(e.ids, dtype="<u4").tobytes() for e in plain]
+
+
+def test_words_of_letters_go_straight_to_the_model():
+    tok, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH, letters=True)
+    encode.tokenizer = None  # the rules are not needed for these
+    texts = ["Plain wörds ÉCOLE straßenbahn", "niño\nqueñazo PLAIN of of"]
+    expected = [np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode(texts) == expected
+
+
+def test_odd_words_have_the_librarys_ids():
+    letters = "aAzZéÉßÀÖØöøÿ×÷µªº'’.,*#%&$|<>\xad\u0301\u0307\u0130\u212a\u212b\u017f\ufb01數9_-\t\r\x0b\x85\u00a0\u2028\x1cΣςЖ"
+    words = ["".join(RND.choice(letters) for _ in range(RND.randint(0, 9))) for _ in range(6000)]
+    words += ["".join(RND.choice("aàÉz*,$") for _ in range(RND.randint(1, 30))) for _ in range(2000)]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, len(words), 20)]
+    tok, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH, known_words=2000, letters=True)
+    got = [ids for i in range(0, len(texts), 50) for ids in encode(texts[i : i + 50])]
+    for t, ids in zip(texts, got, strict=True):
+        assert np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == ids
