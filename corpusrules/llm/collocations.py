@@ -13,16 +13,25 @@ Method: Toivonen's sampling algorithm for frequent phrases (contiguous word sequ
    a pass finds no failure. Then every frequent phrase has been counted (its two parts are
    frequent, hence counted, hence proposed), so the result is exact.
 
-Each pass is a Spark job. While the vocabulary and the written proposals have at most
-``BROADCAST_ROWS`` rows each, every task reads them and counts a few million positions at a
-time, level by level, so a phrase is formed only where both its parts are known and a very
-common phrase is one row per block. Beyond that size phrases are exploded natively and
-filtered by semi joins with the proposals. Scores are exact decimal integer arithmetic.
+Every task reads the written proposals into a table of bits (``Filter``, of bounded size), which
+holds each of them and some other phrases: these are counted for nothing, since what is counted
+is counted exactly and nothing proposed is missed. A task counts a million positions at a time,
+level by level, so a phrase is formed only where both its parts are known and a very common
+phrase is one row per block. The counts of a block leave the task as sorted, compressed chunks,
+one for each of the tasks that add them up, so a row takes a few bytes of disk. A pass whose
+chunks would take more than ``PASS_BYTES`` bytes a position, by those of the sample, is done in several
+jobs, each for a share of the phrases, one after the other.
+
+While the vocabulary has at most ``BROADCAST_ROWS`` rows, every task reads it. Beyond that size
+phrases are exploded natively and filtered by semi joins with the proposals. Scores are exact
+decimal integer arithmetic.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +49,19 @@ TOP = 2000
 SAMPLE_FRACTION = 0.1
 SAMPLE_SUPPORT = 0.7
 SEED = 13
-#: Vocabularies and proposals up to this many rows are read by every task; larger are joined.
+#: Vocabularies up to this many rows are read by every task; larger are joined.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text split at once, positions of written texts counted at once, rows sent at once.
 SPLIT_BYTES = 2 << 20
-POSITIONS = 500_000
+POSITIONS = 1_000_000
 ROWS_OUT = 100_000
+#: Positions of the texts for each task that adds up counts, rows it holds before it adds them up.
+POSITIONS_PER_TASK = 2_000_000
+ROWS_HELD = 1_000_000
+#: Bytes of disk for each position of the texts that the chunks of one job may take.
+PASS_BYTES = 8
+#: Bits of a filter, as powers of two: at least, at most (128 MB).
+FILTER_BITS = 20, 30
 
 # Fixed values of the contract: pieces end at these characters, words at blanks and tabs.
 PIECE_ENDS = r"[.,;:!?\n\x0B\x0C\r]"
@@ -155,20 +171,20 @@ def words_counted(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "g").agg(F.sum("f").alias("f"))
 
 
-def _read(path: str) -> pa.Table:
-    """A written table, read by the task."""
+def _dataset(path: str):
+    """A written table, to be read by the task."""
     import pyarrow.dataset as ds
     import pyarrow.fs as pafs
 
     filesystem, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    return ds.dataset(base, filesystem=filesystem, format="parquet").to_table()
+    return ds.dataset(base, filesystem=filesystem, format="parquet")
 
 
 class Vocabulary:
     """The written frequent words, numbered from 1 in the order of (lang, word)."""
 
     def __init__(self, path: str):
-        table = _read(path).select(["lang", "g"]).sort_by([("lang", "ascending"), ("g", "ascending")])
+        table = _dataset(path).to_table(["lang", "g"]).sort_by([("lang", "ascending"), ("g", "ascending")])
         self.langs = table.column("lang").combine_chunks()
         self.words = table.column("g").combine_chunks().cast(pa.binary())
         runs = pc.run_end_encode(self.langs)
@@ -222,39 +238,76 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         start = stop
 
 
+def _by_length(g: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, words) of the phrases of each length; ``g`` holds the numbers of the words, 4 bytes each."""
+    lengths = pc.binary_length(g).to_numpy(zero_copy_only=False) // 4
+    for k in np.unique(lengths):
+        rows = np.flatnonzero(lengths == k)
+        words = np.frombuffer(b"".join(g.take(pa.array(rows)).to_pylist()), ">i4")
+        yield rows, words.reshape(-1, k).astype(np.int32)
+
+
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """64 bits for each row of word numbers."""
+    found = np.full(len(words), words.shape[1], np.uint64)
+    for column in words.T:
+        found = (found ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(32)
+    return found
+
+
+def _dealt(hashes: np.ndarray, factor: int, n: int) -> np.ndarray:
+    """One of ``n`` numbers for each hash; those of one factor say nothing about those of another."""
+    return ((hashes * np.uint64(factor)) >> np.uint64(33)).astype(np.int64) % n
+
+
+class Filter:
+    """A set of phrases as two bits of a table for each: it holds all that were added, and a few
+    others (less than 2 % of them, up to the greatest size of the table)."""
+
+    def __init__(self, phrases: int):
+        self.bits = min(max(FILTER_BITS[0], (16 * phrases).bit_length()), FILTER_BITS[1])
+        self.table = np.zeros(1 << self.bits >> 3, np.uint8)
+
+    def _at(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        other = (hashes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - self.bits)
+        for at in (hashes & np.uint64((1 << self.bits) - 1), other):
+            yield (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for byte, bit in self._at(hashes):
+            for b in range(8):
+                self.table[byte[bit == b]] |= np.uint8(1 << b)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for byte, bit in self._at(hashes):
+            found &= (self.table[byte] >> bit) & 1 > 0
+        return found
+
+
 class Proposals:
-    """The written proposals by length: sorted codes of (rank of the first ``k - 1`` words, last
-    word), their words, and whether they are new to this pass."""
-
-    def __init__(self, path: str, base: int, longest: int):
-        table = _read(path)
-        keys, fresh = table.column("g").to_pylist(), table.column("fresh").to_numpy()
-        lengths = np.fromiter(map(len, keys), np.int64, len(keys)) // 4
-        self.base, self.codes, self.words, self.fresh = base, {}, {}, {}
-        for k in range(2, longest + 1):
-            at = np.flatnonzero(lengths == k)
-            words = np.frombuffer(b"".join(keys[i] for i in at), ">i4").reshape(-1, k).astype(np.int64)
-            ranks = words[:, 0]
-            for j in range(2, k):
-                ranks = self.ranks(j, ranks * base + words[:, j - 1])
-            codes = ranks * base + words[:, -1]
-            order = np.argsort(codes)
-            self.codes[k], self.words[k], self.fresh[k] = codes[order], words[order], fresh[at][order]
-
-    def ranks(self, k: int, codes: np.ndarray) -> np.ndarray:
-        """Ranks from 1 of phrases of ``k`` words, 0 where not proposed."""
-        known = self.codes[k]
-        if not len(known):
-            return np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        return np.where(known[at] == codes, at + 1, 0)
+    """The written proposals and those of them that are new to a pass, as filters."""
+
+    def __init__(self, path: str, phrases: int, new: int):
+        self.known, self.fresh = Filter(phrases), Filter(new)
+        read = _dataset(path).to_batches(
+            columns=["g", "fresh"], batch_size=ROWS_OUT, batch_readahead=1, fragment_readahead=1, use_threads=False
+        )
+        for batch in read:
+            fresh = batch.column(1).to_numpy(zero_copy_only=False)
+            for rows, words in _by_length(batch.column(0)):
+                hashes = _hashes(words)
+                self.known.add(hashes)
+                self.fresh.add(hashes[fresh[rows]])
 
 
 def _block_counts(
     ids: np.ndarray, base: int, longest: int, proposals: Proposals | None, again: bool
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, counts) of the phrases of each length in one block: those whose two parts are
-    proposed (without ``proposals`` all), with ``again`` only where one of the parts is new."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, hashes, counts) of the phrases of each length in one block, sorted by their first
+    ``k - 1`` words' numbers in the block: those whose two parts the proposals hold (without
+    ``proposals`` all), with ``again`` only where one of the parts is new."""
     level, words, fresh = ids, None, None
     for k in range(2, longest + 1):
         formed = (level[:-1] > 0) & (level[1:] > 0)
@@ -262,43 +315,116 @@ def _block_counts(
             return
         codes = level[:-1][formed] * base + ids[k - 1 :][formed]
         found, back, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        head, last = found // base, (found % base).astype(np.int32)
+        words_now = np.column_stack([head.astype(np.int32) if k == 2 else words[head - 1], last])
+        hashes = _hashes(words_now)
         wanted = np.ones(len(found), bool)
         if again:
             wanted[:] = False
             if k > 2:
                 new = fresh[level[:-1][formed] - 1] | fresh[level[1:][formed] - 1]
                 wanted[back[new]] = True
-        head, last = found // base, found % base
-        members = np.column_stack([head if k == 2 else words[head - 1], last])
         if wanted.any():
-            yield members[wanted], counts[wanted]
-        if proposals is None:
-            ranks, words = np.arange(1, len(found) + 1), members
-        else:
-            ranks, words, fresh = proposals.ranks(k, found), proposals.words[k], proposals.fresh[k]
+            yield words_now[wanted], hashes[wanted], counts[wanted]
+        words, numbers = words_now, np.arange(1, len(found) + 1)
+        if proposals is not None:
+            numbers[~proposals.known.holds(hashes)] = 0
+            fresh = proposals.fresh.holds(hashes)
         level = np.zeros(len(formed), np.int64)
-        level[formed] = ranks[back]
-
-
-def _phrase_counts(
-    numbered: DataFrame, base: int, longest: int, proposals_path: str | None = None, again: bool = False
+        level[formed] = numbers[back]
+
+
+def _packed(words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Phrases of one length and their counts, compressed: steps between first words, the other
+    words, the counts; of each first all lowest bytes, then all second ones and so on."""
+    columns = np.empty((words.shape[1] + 1, len(words)), np.int32)
+    columns[0] = np.diff(words[:, 0], prepend=np.int32(0))
+    columns[1:-1] = words[:, 1:].T
+    columns[-1] = counts
+    planes = columns.view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(k: int, n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts) of ``_packed``, a column for each phrase."""
+    planes = pa.decompress(data, decompressed_size=4 * (k + 1) * n, codec="zstd", asbytes=True)
+    columns = np.frombuffer(planes, np.uint8).reshape(k + 1, 4, n).transpose(0, 2, 1)
+    columns = columns.copy(order="C").view(np.int32)[:, :, 0]
+    columns[0] = np.cumsum(columns[0])
+    return columns[:k], columns[k].astype(np.int64)
+
+
+def _chunks(
+    numbered: DataFrame,
+    base: int,
+    longest: int,
+    tasks: int,
+    proposals: tuple[str, int, int] | None = None,
+    again: bool = False,
+    share: int = 0,
+    shares: int = 1,
 ) -> DataFrame:
-    """(g, f): exact counts over ``numbered`` of the phrases of ``_block_counts``; ``g`` holds the
-    numbers of the words, 4 bytes each."""
+    """(part, k, n, data): the counts of ``_block_counts``, ``_packed`` for each of ``tasks`` parts;
+    the phrases of one of the ``shares`` only. ``proposals`` are the arguments of ``Proposals``."""
+    names = ["part", "k", "n", "data"]
 
     def run(batches):
-        proposals = None
+        held = None
         for batch in batches:
-            if proposals_path and proposals is None:
-                proposals = Proposals(proposals_path, base, longest)
+            if proposals and held is None:
+                held = Proposals(*proposals)
             for ids in _blocks(batch):
-                for words, counts in _block_counts(ids, base, longest, proposals, again):
-                    offsets = np.arange(0, 4 * words.size + 1, 4 * words.shape[1])
-                    g = _binary(offsets, words.astype(">i4").tobytes())
-                    f = pa.array(counts, pa.int64())
-                    yield from _sent(pa.RecordBatch.from_arrays([g, f], names=["g", "f"]))
+                for words, hashes, counts in _block_counts(ids, base, longest, held, again):
+                    if shares > 1:
+                        mine = _dealt(hashes, 0x165667B19E3779F9, shares) == share
+                        words, hashes, counts = words[mine], hashes[mine], counts[mine]
+                    part = _dealt(hashes, 0x27D4EB2F165667C5, tasks).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    words, counts = words[order], counts[order]
+                    parts, starts, sizes = np.unique(part[order], return_index=True, return_counts=True)
+                    data = [
+                        _packed(words[a : a + n], counts[a : a + n]) for a, n in zip(starts, sizes, strict=True)
+                    ]
+                    columns = [parts, np.full(len(parts), words.shape[1], np.int32), sizes.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, columns), pa.array(data, pa.binary())], names=names
+                    )
+
+    return numbered.mapInArrow(run, "part int, k int, n int, data binary")
+
+
+def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of one length, each once, with the sums of their counts."""
+    words = np.concatenate([w for w, _ in held], axis=1)
+    counts = np.concatenate([c for _, c in held])
+    keys = [f"w{j}" for j in range(len(words))]
+    table = pa.table([*map(pa.array, words), pa.array(counts)], names=[*keys, "f"])
+    found = table.group_by(keys, use_threads=False).aggregate([("f", "sum")])
+    return np.stack([found[c].to_numpy() for c in keys]), found["f_sum"].to_numpy()
+
+
+def _sums(chunks: DataFrame, tasks: int, least: int) -> DataFrame:
+    """(g, f) of the phrases of ``_chunks`` counted ``least`` times or more; ``g`` holds the numbers
+    of the words, 4 bytes each."""
 
-    return numbered.mapInArrow(run, "g binary, f long").groupBy("g").agg(F.sum("f").alias("f"))
+    def run(batches):
+        held, rows, most = {}, {}, {}
+        for batch in batches:
+            for k, n, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                held.setdefault(k, []).append(_unpacked(k, n, data))
+                rows[k] = rows.get(k, 0) + n
+                if rows[k] > most.get(k, ROWS_HELD):
+                    held[k] = [_added_up(held[k])]
+                    rows[k] = len(held[k][0][1])
+                    most[k] = max(ROWS_HELD, 2 * rows[k])
+        for k in list(held):
+            words, counts = _added_up(held.pop(k))
+            kept = counts >= least
+            words = np.ascontiguousarray(words[:, kept].T.astype(">i4"))
+            g = _binary(np.arange(0, 4 * words.size + 1, 4 * k), words.tobytes())
+            yield from _sent(pa.RecordBatch.from_arrays([g, pa.array(counts[kept])], names=["g", "f"]))
+
+    return chunks.repartitionById(tasks, F.col("part")).mapInArrow(run, "g binary, f long")
 
 
 def _spelled(found: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -308,18 +434,15 @@ def _spelled(found: DataFrame, vocabulary_path: str) -> DataFrame:
         vocabulary = None
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(vocabulary_path)
-            lengths = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // 4
-            for k in np.unique(lengths):
-                part = batch.filter(pa.array(lengths == k))
-                ids = np.frombuffer(b"".join(part.column(0).to_pylist()), ">i4").reshape(-1, k) - 1
-                ids = ids.astype(np.int64)
+            for rows, ids in _by_length(batch.column(0)):
+                ids, k = ids - 1, ids.shape[1]
                 words = [vocabulary.words.take(pa.array(ids[:, j])).cast(pa.string()) for j in range(k)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         vocabulary.langs.take(pa.array(ids[:, 0])),
                         pa.array(np.full(len(ids), k), pa.int32()),
                         pc.binary_join_element_wise(*words, " "),
-                        part.column(1),
+                        batch.column(1).take(pa.array(rows)),
                     ],
                     names=["lang", "k", "g", "f"],
                 )
@@ -364,29 +487,37 @@ def _mined(
     base = size + 1
     vocabulary_path = f"{work.home}/vocabulary"
     numbered = work.keep(_numbered(docs, vocabulary_path), "numbered")
-    sample = _phrase_counts(numbered.sample(fraction=fraction, seed=SEED), base, longest)
-    proposals = sample.where(F.col("f") >= lowered).select("g", F.lit(False).alias("fresh"))
+    drawn = numbered.sample(fraction=fraction, seed=SEED)
+    positions = totals.agg(F.sum("n")).first()[0] or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, math.ceil(positions / POSITIONS_PER_TASK))
+    sample = _sums(_chunks(drawn, base, longest, tasks), tasks, lowered)
     name = "proposed0"
-    proposed = work.keep(proposals, name)
-    passes, parts = 0, []
+    proposed = work.keep(sample.select("g", F.lit(False).alias("fresh")), name)
+    passes, parts, shares = 0, [], 1
     while True:
-        if proposed.count() > BROADCAST_ROWS:
-            return *_joined(docs, vocabulary, min_count, longest, fraction, lowered, work), totals
+        new = proposed.where("fresh").count()
+        if passes and not new:
+            break
         passes += 1
-        counts = _phrase_counts(numbered, base, longest, f"{work.home}/{name}", passes > 1)
-        found = work.keep(counts.where(F.col("f") >= min_count), f"frequent{passes}")
-        parts.append(found)
+        given = f"{work.home}/{name}", proposed.count(), new
+        if passes == 1:
+            size = _chunks(drawn, base, longest, tasks, given).agg(F.sum(F.length("data"))).first()[0] or 0
+            shares = max(1, math.ceil(size / fraction / (PASS_BYTES * max(1, positions))))
+        counted = []
+        for share in range(shares):
+            chunks = _chunks(numbered, base, longest, tasks, given, passes > 1, share, shares)
+            counted.append(work.keep(_sums(chunks, tasks, min_count), f"frequent{passes}_{share}"))
+        parts += counted
+        found = reduce(DataFrame.unionByName, counted)
         failures = found.where(F.length("g") < 4 * longest).join(proposed, "g", "left_anti")
         grown = proposed.select("g", F.lit(False).alias("fresh")).unionByName(
             failures.select("g", F.lit(True).alias("fresh"))
         )
         name = f"proposed{passes}"
         proposed = work.keep(grown, name)
-        if proposed.where("fresh").limit(1).count() == 0:
-            break
-    every = parts[0]
-    for found in parts[1:]:
-        every = every.unionByName(found)
+    # a phrase that a filter held by chance may have been counted in two passes
+    every = reduce(DataFrame.unionByName, parts).distinct()
     words = vocabulary.select("lang", F.lit(1).alias("k"), "g", "f")
     return work.keep(words.unionByName(_spelled(every, vocabulary_path)), "frequent"), passes, totals
 

@@ -126,3 +126,57 @@ def test_blocks_of_texts_and_numbers(monkeypatch):
     blocks = [b.tolist() for b in collocations._blocks(rows)]
     assert sum(blocks, []) == sum(ids, []) and len(blocks) > 2
     assert all(b[0] == 0 for b in blocks)  # cut between runs only
+
+
+def test_many_proposals_are_not_joined(spark, docs, monkeypatch):
+    """Proposals beyond the vocabulary's bound, in several jobs a pass: no phrase is exploded."""
+
+    def joined(*args):
+        raise AssertionError("exploded and joined")
+
+    words = len({(r.lang, w) for r in collocations.words_counted(docs).collect() for w in [r.g]})
+    monkeypatch.setattr(collocations, "_joined", joined)
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", words)
+    monkeypatch.setattr(collocations, "PASS_BYTES", 0.2)
+    monkeypatch.setattr(collocations, "ROWS_HELD", 50)
+    got = collocations.collocations(docs, min_count=20, sample_fraction=0.5)
+    assert sorted(tuple(r) for r in got.collect()) == brute([(r.lang, r.text) for r in docs.collect()], 20)
+
+
+def test_shares_of_a_pass_are_all_of_it(spark):
+    ids = [[0, *(RND.choice([1, 2, 3, 4]) for _ in range(60))] for _ in range(20)]
+    rows = spark.createDataFrame([(np.array(i, np.int32).tobytes(),) for i in ids], "ids binary")
+
+    def counted(share, shares):
+        chunks = collocations._chunks(rows, 5, 5, 3, share=share, shares=shares)
+        return [(bytes(r.g), r.f) for r in collocations._sums(chunks, 3, 2).collect()]
+
+    want = Counter()
+    for i in ids:
+        for k in range(2, 6):
+            want.update(np.array(i[a : a + k], ">i4").tobytes() for a in range(1, len(i) - k + 1))
+    assert sorted(counted(0, 1)) == sorted((g, f) for g, f in want.items() if f >= 2)
+    shares = [counted(s, 3) for s in range(3)]
+    assert all(shares) and sorted(sum(shares, [])) == sorted(counted(0, 1))
+
+
+def test_packed_counts_and_filters(monkeypatch):
+    words = np.array([[1, 70000, 3], [1, 70001, 2], [9, 1, 1], [2**31 - 1, 5, 5]], np.int32)
+    counts = np.array([1, 70000, 3, 2])
+    back, sums = collocations._unpacked(3, 4, collocations._packed(words, counts))
+    assert back.T.tolist() == words.tolist() and sums.tolist() == counts.tolist()
+    back, sums = collocations._unpacked(2, 1, collocations._packed(words[:1, :2], counts[:1]))
+    assert (back.tolist(), sums.tolist()) == ([[1], [70000]], [1])
+    hashes = collocations._hashes(np.arange(300_000, dtype=np.int32).reshape(-1, 3))
+    held = collocations.Filter(1000)
+    held.add(hashes[:1000])
+    assert held.holds(hashes[:1000]).all() and held.holds(hashes[1000:]).mean() < 0.02
+    # a table too small for its phrases holds too many, and then too many are counted, all of them exactly
+    monkeypatch.setattr(collocations, "FILTER_BITS", (3, 3))
+    proposals = collocations.Proposals.__new__(collocations.Proposals)
+    proposals.known, proposals.fresh = collocations.Filter(1000), collocations.Filter(0)
+    proposals.known.add(hashes)
+    ids = np.array([0, 1, 2, 1, 2, 0, 2, 1, 2], np.int64)
+    got = [list(map(tuple, w)) for w, _, _ in collocations._block_counts(ids, 3, 5, proposals, False)]
+    assert [len(w) for w in got] == [2, 2, 1]
+    assert not list(collocations._block_counts(ids, 3, 5, proposals, True))
