@@ -330,12 +330,8 @@ def written_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = spark.read.parquet(f"{home}/units")
     write_tree(R.tree_lines(units, REPO_URL, GENERATED), f"{home}/tree", archives=True)
     remove(spark, f"{home}/units")
-    back = read_archives(spark, f"{home}/tree")
-    return back.select(
-        F.col("file_path").alias("path"),
-        (F.size(F.split("content", "\n", -1)) - 1).cast("long").alias("n_lines"),
-        F.md5("content").alias("text_md5"),
-    )
+    back = read_archives(spark, f"{home}/tree", facts=True)
+    return back.select(F.col("file_path").alias("path"), "n_lines", "text_md5")
 
 
 # --- events and files --------------------------------------------------------------------

@@ -22,6 +22,8 @@ archives in one folder gives the tree. The commit is the same; ``read_archives``
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import tarfile
 import tempfile
 import uuid
@@ -29,9 +31,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .files import SCHEMA as FILE_SCHEMA
 from .files import SourceListing
@@ -43,6 +47,9 @@ DOCUMENTS_PER_ARCHIVE = 10_000
 BYTES_PER_ARCHIVE = 64 * 1024 * 1024
 # bytes of text per record batch, and of a document held before its size is known
 _BATCH_BYTES = 16 * 1024 * 1024
+# bytes compressed, read or decompressed at once
+_PIECE_BYTES = 1024 * 1024
+_BLOCK = 512
 
 
 def _fs(uri: str):
@@ -74,39 +81,64 @@ class _Files:
         pass
 
 
+#: The header of a member without name, size and check sum, and the sum of its bytes with blanks for the last.
+_HEADER = tarfile.TarInfo("").tobuf(tarfile.PAX_FORMAT)
+_SUM = sum(_HEADER[:124]) + sum(_HEADER[136:148]) + 8 * ord(" ") + sum(_HEADER[156:])
+
+
+def _member_header(path: str, size: int) -> bytes:
+    """What stands before a member's bytes; ``tarfile`` writes what does not fit the plain form."""
+    name = path.encode("utf-8")
+    if len(name) > 100 or not name.isascii() or size >= 8**11:
+        member = tarfile.TarInfo(path)
+        member.size = size
+        return member.tobuf(tarfile.PAX_FORMAT)
+    digits = b"%011o\0" % size
+    check = b"%06o\0 " % (_SUM + sum(name) + sum(digits))
+    return b"".join([name, _HEADER[len(name) : 124], digits, _HEADER[136:148], check, _HEADER[156:]])
+
+
 class _Archives:
     """Documents as members of compressed archives, written as streams one after the other."""
 
     def __init__(self, fs, base: str, partition: int):
         self.fs, self.base, self.partition = fs, base, partition
-        self.archives, self.documents, self.stream, self.tar = 0, 0, None, None
+        self.archives, self.documents, self.stream = 0, 0, None
 
     def open(self, path: str):
         return _Member(self, path)
 
-    def add(self, path: str, data, size: int) -> None:
-        if self.tar is not None and (
+    def add(self, path: str, pieces: Iterator[bytes], size: int) -> None:
+        if self.stream is not None and (
             self.documents >= DOCUMENTS_PER_ARCHIVE or self.stream.tell() >= BYTES_PER_ARCHIVE
         ):
             self.close()
-        if self.tar is None:
+        if self.stream is None:
             self.fs.create_dir(self.base, recursive=True)
             name = f"docs-{self.partition:05d}-{self.archives:05d}.tar.gz"
-            # tarfile compresses; pyarrow would do so again, going by the name
+            # compressed here; pyarrow would do so again, going by the name
             self.stream = self.fs.open_output_stream(f"{self.base}/{name}", compression=None)
-            self.tar = tarfile.open(fileobj=self.stream, mode="w|gz", compresslevel=6)
+            self.packer, self.held, self.waiting = zlib.compressobj(6, zlib.DEFLATED, 31), [], 0
             self.archives, self.documents = self.archives + 1, 0
-        member = tarfile.TarInfo(path)
-        member.size = size
-        self.tar.addfile(member, data)
-        self.tar.members.clear()  # only needed to read the archive back
+        self._put(_member_header(path, size))
+        for piece in pieces:
+            self._put(piece)
+        self._put(bytes(-size % _BLOCK))
         self.documents += 1
 
+    def _put(self, data: bytes) -> None:
+        self.held.append(data)
+        self.waiting += len(data)
+        if self.waiting >= _PIECE_BYTES:
+            self.stream.write(self.packer.compress(b"".join(self.held)))
+            self.held, self.waiting = [], 0
+
     def close(self) -> None:
-        if self.tar is not None:
-            self.tar.close()
+        if self.stream is not None:
+            self._put(bytes(2 * _BLOCK))  # the end of a tar file
+            self.stream.write(self.packer.compress(b"".join(self.held)) + self.packer.flush())
             self.stream.close()
-            self.tar = None
+            self.stream = None
 
 
 class _Member:
@@ -114,19 +146,33 @@ class _Member:
 
     def __init__(self, archives: _Archives, path: str):
         self.archives, self.path = archives, path
-        self.data = tempfile.SpooledTemporaryFile(max_size=_BATCH_BYTES)
+        self.held, self.size, self.file = [], 0, None
 
     def write(self, data: bytes) -> None:
-        self.data.write(data)
+        self.size += len(data)
+        if self.file is None:
+            self.held.append(data)
+            if self.size <= _BATCH_BYTES:
+                return
+            self.file = tempfile.TemporaryFile()
+            data = b"".join(self.held)
+            self.held = []
+        self.file.write(data)
+
+    def _pieces(self) -> Iterator[bytes]:
+        yield from self.held
+        if self.file is not None:
+            self.file.seek(0)
+            while data := self.file.read(_PIECE_BYTES):
+                yield data
 
     def close(self) -> None:
-        size = self.data.tell()
-        self.data.seek(0)
-        self.archives.add(self.path, self.data, size)
-        self.data.close()
+        self.archives.add(self.path, self._pieces(), self.size)
+        if self.file is not None:
+            self.file.close()
 
 
-class DocsTreeWriter(DataSourceWriter):
+class DocsTreeWriter(DataSourceArrowWriter):
     def __init__(self, tree: str, job: str, archives: bool = False):
         self.tree, self.job, self.archives = tree.rstrip("/"), job, archives
 
@@ -134,7 +180,7 @@ class DocsTreeWriter(DataSourceWriter):
     def staging(self) -> str:
         return f"{self.tree}.__staging/{self.job}"
 
-    def write(self, rows: Iterator) -> Attempt:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Attempt:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -143,14 +189,14 @@ class DocsTreeWriter(DataSourceWriter):
         target = (_Archives if self.archives else _Files)(fs, base, task.partitionId())
         current, out, files = None, None, 0
         try:
-            for row in rows:
-                if row.path != current:
+            for path, text in (run for batch in batches for run in _runs(batch)):
+                if path != current:
                     if out is not None:
                         out.close()
-                    current = row.path
+                    current = path
                     out = target.open(_safe(current))
                     files += 1
-                out.write(((row.line or "") + "\n").encode("utf-8"))
+                out.write(text)
         finally:
             if out is not None:
                 out.close()
@@ -199,6 +245,24 @@ def _drop_if_empty(fs, folder: str) -> None:
         pass  # another job's staging is in it
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(path, text) of each run of rows of one path: their lines, each with a line end."""
+    if not batch.num_rows:
+        return
+    paths = batch.column(SCHEMA_COLUMNS.index("path"))
+    wide = pa.large_string()
+    lines = batch.column(SCHEMA_COLUMNS.index("line")).cast(wide).fill_null("")
+    ended = pc.binary_join_element_wise(lines, pa.scalar("", wide), pa.scalar("\n", wide))
+    _, offsets, data = ended.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    text = memoryview(data)
+    other = pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False)
+    starts = np.append(0, np.flatnonzero(other) + 1)
+    at = [*offsets[starts].tolist(), int(offsets[-1])]
+    for i, path in enumerate(paths.take(pa.array(starts)).to_pylist()):
+        yield path, bytes(text[at[i] : at[i + 1]])
+
+
 def _safe(path: str) -> str:
     """A relative path that cannot leave the tree."""
     parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".", "..")]
@@ -246,41 +310,132 @@ def write_tree(
     )
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+class _Unpacked:
+    """The decompressed bytes of a gzip stream, a piece at a time."""
+
+    def __init__(self, stream):
+        self.stream, self.unpacker = stream, zlib.decompressobj(31)
+        self.held, self.at = b"", 0
+
+    def _more(self) -> bool:
+        while True:
+            if self.unpacker.eof:  # another gzip stream may follow
+                raw = self.unpacker.unused_data or self.stream.read(_PIECE_BYTES)
+                if not raw:
+                    return False
+                self.unpacker = zlib.decompressobj(31)
+            else:
+                raw = self.unpacker.unconsumed_tail or self.stream.read(_PIECE_BYTES)
+            data = self.unpacker.decompress(raw, _PIECE_BYTES)
+            if data:
+                self.held, self.at = self.held[self.at :] + data, 0
+                return True
+            if not raw and not self.unpacker.eof:
+                raise EOFError("the archive ends early")
+
+    def read(self, size: int) -> bytes:
+        while len(self.held) - self.at < size and self._more():
+            pass
+        data = self.held[self.at : self.at + size]
+        self.at += len(data)
+        return data
+
+    def pieces(self, size: int) -> Iterator[bytes]:
+        while size:
+            data = self.read(min(size, _PIECE_BYTES))
+            if not data:
+                raise EOFError("the archive ends early")
+            size -= len(data)
+            yield data
+
+
+def _members(stream) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """(name, its bytes in pieces, to be read in turn) of the files in a tar.gz archive."""
+    unpacked, extra = _Unpacked(stream), {}
+    while True:
+        header = unpacked.read(_BLOCK)
+        if len(header) < _BLOCK:
+            raise tarfile.ReadError("the archive has no end")
+        if not header.strip(b"\0"):
+            while unpacked.read(_PIECE_BYTES):  # to the check sum of the stream
+                pass
+            return
+        if sum(header) - sum(header[148:156]) + 8 * ord(" ") != tarfile.nti(header[148:156]):
+            raise tarfile.ReadError("bad check sum of a header")
+        size, kind = tarfile.nti(header[124:136]), header[156:157]
+        if kind == b"x":  # values that do not fit the plain form, for the next member
+            records = b"".join(unpacked.pieces(size))
+            while records:
+                length, _, _ = records.partition(b" ")
+                key, _, value = records[len(length) + 1 : int(length) - 1].partition(b"=")
+                extra[key], records = value, records[int(length) :]
+            unpacked.read(-size % _BLOCK)
+            continue
+        size = int(extra.get(b"size", size))
+        parts = [header[345:500], header[:100]] if header[257:263] == b"ustar\0" else [header[:100]]
+        plain = b"/".join(p for p in (p.partition(b"\0")[0] for p in parts) if p)
+        pieces = unpacked.pieces(size)
+        if kind in (b"0", b"\0"):
+            yield extra.get(b"path", plain).decode("utf-8", "surrogateescape"), pieces
+        for _ in pieces:
+            pass  # what was not read
+        unpacked.read(-size % _BLOCK)
+        extra = {}
+
+
+def _facts(pieces: Iterator[bytes]) -> tuple[int, str]:
+    """Number of line ends and MD5 of a text, a piece at a time."""
+    decoder, digest, lines = codecs.getincrementaldecoder("utf-8")("replace"), hashlib.md5(), 0
+    for piece in pieces:
+        lines += piece.count(b"\n")
+        digest.update(decoder.decode(piece).encode("utf-8"))
+    digest.update(decoder.decode(b"", True).encode("utf-8"))
+    return lines, digest.hexdigest()
+
+
+def read_archives(spark: SparkSession, folder: str, facts: bool = False) -> DataFrame:
     """``(file_path, content, error)`` of the documents of a tree written with ``archives``.
 
+    With ``facts`` ``(file_path, n_lines, text_md5, error)``: the number of line ends and the MD5
+    of each document, which is read a piece at a time, however long it is; ``content`` must fit a cell.
     An archive that cannot be read gives one row with its own path and ``error``.
     """
     spark.dataSource.register(SourceListing)
     listing = spark.read.format("source_listing").option("suffixes", ".tar.gz").load(folder)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = [("file_path", pa.string())]
+    named += [("n_lines", pa.int64()), ("text_md5", pa.string())] if facts else [("content", pa.string())]
+    schema = pa.schema([*named, ("error", pa.string())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
-        schema = pa.schema([(c, pa.string()) for c in ("file_path", "content", "error")])
-        rows: list[dict] = []
+        rows: list[tuple] = []
         size = 0
         for path in (p for batch in batches for p in batch.column("file_path").to_pylist()):
             try:
-                with (
-                    fs.open_input_stream(f"{base}/{path}", compression=None) as f,
-                    tarfile.open(fileobj=f, mode="r|gz") as tar,
-                ):
-                    while (member := tar.next()) is not None:
-                        data = tar.extractfile(member).read()
-                        tar.members.clear()
-                        content = data.decode("utf-8", "replace")
-                        rows.append({"file_path": member.name, "content": content, "error": None})
-                        size += len(data)
+                with fs.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    for name, pieces in _members(f):
+                        if facts:
+                            rows.append((name, *_facts(pieces), None))
+                            size += 200
+                        else:
+                            data = b"".join(pieces)
+                            rows.append((name, data.decode("utf-8", "replace"), None))
+                            size += len(data)
                         if size > _BATCH_BYTES:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            yield batch_of(rows)
                             rows, size = [], 0
             except (OSError, EOFError, tarfile.TarError, zlib.error) as e:
-                rows.append({"file_path": path, "content": None, "error": str(e)})
+                rows.append((path, *[None] * (len(schema) - 2), str(e)))
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield batch_of(rows)
 
-    return listing.repartition(tasks).select("file_path").mapInArrow(read, FILE_SCHEMA)
+    out = "file_path string, n_lines long, text_md5 string, error string" if facts else FILE_SCHEMA
+    return listing.repartition(tasks).select("file_path").mapInArrow(read, out)
 
 
 SCHEMA_COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]

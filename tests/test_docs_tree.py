@@ -1,5 +1,6 @@
 """The docs tree sink: whole files in order, links that resolve, nothing left by a failed job."""
 
+import hashlib
 import os
 import re
 import tarfile
@@ -137,3 +138,47 @@ def test_written_docs_keeps_short_documents_in_archives(spark, tmp_path, monkeyp
     n = catalog.written_docs(spark, "/root/testdata/sf0.001").count()
     files = [name for folder, _, names in os.walk(tmp_path) for name in names if "/tree" in folder]
     assert n > 100 * len(files) and files
+
+
+def test_facts_of_archived_documents(spark, tmp_path):
+    """Documents of any length and name, read back a piece at a time."""
+    long_path, text = "a/" + "x" * 150 + ".md", "é" * 700_000
+    rows = [(long_path, 0, "", i, text) for i in range(2)]
+    rows += [("ü/y.md", 1, "", 0, None), ("ü/y.md", 0, "", 0, "one\ntwo"), ("z.md", 0, "", 0, "")]
+    lines = spark.createDataFrame(rows, "path string, a long, b string, c long, line string")
+    write_tree(lines, str(tmp_path / "t"), archives=True)
+    want = {long_path: f"{text}\n{text}\n", "ü/y.md": "one\ntwo\n\n", "z.md": "\n"}
+    assert {r.file_path: r.content for r in read_archives(spark, str(tmp_path / "t")).collect()} == want
+    (tmp_path / "t" / "z.tar.gz").write_bytes((tmp_path / "t" / os.listdir(tmp_path / "t")[0]).read_bytes()[:-9])
+    got = {tuple(r) for r in read_archives(spark, str(tmp_path / "t"), facts=True).collect() if r.error is None}
+    assert got == {(p, t.count("\n"), hashlib.md5(t.encode()).hexdigest(), None) for p, t in want.items()}
+    broken = read_archives(spark, str(tmp_path / "t"), facts=True).where("error is not null").collect()
+    assert [tuple(r)[:3] for r in broken] == [("z.tar.gz", None, None)]
+
+
+def test_long_documents_go_through_a_file(tmp_path, monkeypatch):
+    monkeypatch.setattr(docs_tree, "_BATCH_BYTES", 10)
+    target = docs_tree._Archives(pafs.LocalFileSystem(), str(tmp_path / "a"), 0)
+    for path in ("long.md", "s.md"):
+        out = target.open(path)
+        for part in (b"12345678", b"9abc", b"", b"de")[: None if path == "long.md" else 1]:
+            out.write(part)
+        out.close()
+    target.close()
+    with open(tmp_path / "a" / "docs-00000-00000.tar.gz", "rb") as f:
+        got = {name: b"".join(pieces) for name, pieces in docs_tree._members(f)}
+    assert got == {"long.md": b"123456789abcde", "s.md": b"12345678"}
+    with tarfile.open(tmp_path / "a" / "docs-00000-00000.tar.gz") as tar:
+        assert tar.extractfile("long.md").read() == got["long.md"]
+
+
+def test_runs_of_one_path_in_a_batch():
+    import pyarrow as pa
+
+    rows = [("a", "x"), ("a", None), ("b", "é"), ("c", ""), ("a", "y")]
+    batch = pa.RecordBatch.from_pylist(
+        [{"path": "gone", "a": 0, "b": "", "c": 0, "line": "gone"}]
+        + [{"path": p, "a": 0, "b": "", "c": 0, "line": t} for p, t in rows]
+    ).slice(1)
+    assert list(docs_tree._runs(batch)) == [("a", b"x\n\n"), ("b", "é\n".encode()), ("c", b"\n"), ("a", b"y\n")]
+    assert list(docs_tree._runs(batch.slice(0, 0))) == []
