@@ -9,6 +9,7 @@ from .text import (
     NL,
     NOT_AFTER_WORD,
     NOT_BEFORE_WORD,
+    NOT_WS,
     REST_OF_LINE,
     WS,
     WS_IN_LINE,
@@ -215,7 +216,9 @@ def sql_tables(text: Column) -> Column:
 
 def sql_columns(text: Column) -> Column:
     """Output names of the first SELECT list: the last word of each comma part."""
-    # where no FROM follows the first SELECT none follows a later one, so only one is tried
-    first = rf"(?i)\A(?>[\s\S]*?SELECT{WS}){WS}*+"
-    select_list = F.regexp_extract(text, rf"{first}([\s\S]*?)(?<!{WS}){WS}++FROM", 1)
+    # where no FROM follows the first SELECT none follows a later one, so only one is tried; words
+    # and the space between them are passed over whole, not a character at a time
+    first = rf"(?i)\A(?:[^S]++|S(?!ELECT{WS}))*+SELECT{WS}++"
+    words = rf"(?:[!-~]++|{NOT_WS}++|{WS}++(?!FROM))*+"
+    select_list = F.regexp_extract(text, rf"{first}({words}){WS}++FROM", 1)
     return F.array_distinct(extract_all(select_list, rf"(?<![A-Za-z0-9_])(\w++){WS}*+(?:,|\z)"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 # the range in front lets every character below it fail after two tests
 _WIDE = r"[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 WS = rf"[ \t\n\x0B\f\r\u00A0{_WIDE}]"
+NOT_WS = r"[^ \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 WS_IN_LINE = rf"[ \t\x0B\f\r\u00A0{_WIDE}]"
 REST_OF_LINE = r"[^\n\r\u2028-\u2029]"
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"

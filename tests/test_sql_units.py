@@ -1,7 +1,12 @@
 """Statements of SQL files and SQL strings in Python files."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from corpusrules.functions import sql_text as S
 from corpusrules.operators.sql_units import all_sql, embedded_sql, sql_blocks, split_statements
 
 
@@ -270,3 +275,24 @@ def test_mixed_files_in_one_pass(files):
         ("a.sql", "unnamed_query"),
         ("b.py", "embedded_sql_1"),
     ]
+
+
+def test_select_list_ends_at_the_first_from_behind_space(spark):
+    """The list is passed over in words; it ends where a search a character at a time would end it."""
+    rnd = random.Random(4)
+    tokens = ["SELECT", "select ", " ", "\n", "\u00a0", "\u3000", "FROM", " from", "s", "S", "\u00e9", "\u017f"]
+    tokens += [",", "a.b", "FROMx", "\x1c"]
+    texts = ["".join(rnd.choices(tokens, k=rnd.randint(0, 12))) for _ in range(1500)]
+    texts += ["SELECT " + "".join(rnd.choices(tokens, k=rnd.randint(0, 8))) + "\nFROM t" for _ in range(1500)]
+    texts += ["SELECT a, " + "b c, \u00e9" * 20000 + " d FROM t", "SELECT " + "x \n" * 50000, "S" * 100000, "select x", ""]
+    space = "[ \\t\\n\\x0b\\f\\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    wanted = []
+    for text in texts:
+        head = re.search(f"(?ia)SELECT{space}+", text)
+        tail = head and re.compile(f"(?ia)(?<!{space}){space}+FROM").search(text, head.end())
+        listed = text[head.end() : tail.start()] if tail else ""
+        wanted.append(list(dict.fromkeys(re.findall(rf"(?a)(?<![A-Za-z0-9_])(\w+)(?={space}*(?:,|\Z))", listed))))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", S.sql_columns(F.col("text")).alias("columns")).orderBy("i").collect()
+    assert [r["columns"] for r in got] == wanted
+    assert sum(map(bool, wanted)) > 500
